@@ -1,11 +1,13 @@
 """Registered queries of this subpackage."""
 
-from . import langid, mixing, pii, quality
+from . import decontaminate, langid, mixing, paritysketch, pii, quality
 
 QUERIES = {
     "op1_language_id": langid.query,
+    "op2_decontamination": decontaminate.query,
     "op3_quality_classifier": quality.query,
     "op5_mixing": mixing.query,
     "op7_pii": pii.query,
+    "op10_parity_sketch_join": paritysketch.query,
 }
-ORACLE = {"op5_mixing": mixing.SQL}
+ORACLE = {"op5_mixing": mixing.SQL, "op10_parity_sketch_join": paritysketch.SQL}
