@@ -1,6 +1,6 @@
 """Registered queries of this subpackage."""
 
-from . import decontaminate, langid, mixing, paritysketch, pii, quality
+from . import decontaminate, langid, mixing, paritysketch, pii, quality, suffixdedup
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality_classifier": quality.query,
     "op5_mixing": mixing.query,
     "op7_pii": pii.query,
+    "op8_suffix_array_dedup": suffixdedup.query,
     "op10_parity_sketch_join": paritysketch.query,
 }
 ORACLE = {"op5_mixing": mixing.SQL, "op10_parity_sketch_join": paritysketch.SQL}
