@@ -1,14 +1,16 @@
 """Registered queries of this subpackage."""
 
-from . import decontaminate, langid, mixing, paritysketch, pii, quality, suffixdedup
+from . import decontaminate, langid, linededup, mixing, paritysketch, pii, quality, spotsigs, suffixdedup
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op2_decontamination": decontaminate.query,
     "op3_quality_classifier": quality.query,
     "op5_mixing": mixing.query,
+    "op6_fuzzy_line_dedup": linededup.query,
     "op7_pii": pii.query,
     "op8_suffix_array_dedup": suffixdedup.query,
+    "op9_spotsigs": spotsigs.query,
     "op10_parity_sketch_join": paritysketch.query,
 }
 ORACLE = {"op5_mixing": mixing.SQL, "op10_parity_sketch_join": paritysketch.SQL}
