@@ -8,8 +8,11 @@ is at most D = (|A| + |B|) / 7 (for 0.75), so of the blocks that a sketch is cut
   A band has one block for every two shingles of its largest document. The blocks are wide (2^32 bits) and sparse,
   so a block is kept as the XOR of its set bits' hashes, which is 0 only if it is empty.
 * Pigeonhole: of the u blocks of A that are not empty at least u - D agree with B's. Under any common order the
-  first D + 1 of A and of B then share one; blocks with more bits come first, since they are rarer. A document with
-  u <= D enters the least n/4 + 1 of its shingles beside them, by the same argument on shingles.
+  first D + 1 of A and of B then share one. Blocks with more bits from shingles that are not common come first.
+* A document whose first D + 1 blocks take in some of common shingles alone, or which has no more than D, enters in
+  their place the first n - ceil(3 n / 4) + 1 of its shingles, common ones last: two such documents that link share
+  one of those. If only one of two is of this kind, the block they share is of the other kind. Which shingles count
+  as common is read off a bounded sample and decides the order alone, so it affects speed and never the result.
 * Documents that share a block are candidates. A narrow dense sketch of each, folded to the same width, drops those
   whose Hamming distance is above D; the others are verified on their shingles.
 
@@ -34,6 +37,8 @@ CHUNK = 256
 #: Addresses of texts to verify are broadcast up to this many rows (40 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 400_000
 _ROWS = 1 << 17
+#: Sample of sets that tells common shingles: their expected number, and what counts as common there.
+SAMPLE, COMMON_IN, COMMON_MOST = 4000, 4, 200_000
 
 
 def shingles(text: str | None, k: int = K) -> np.ndarray:
@@ -62,14 +67,16 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def block_keys(h: np.ndarray) -> np.ndarray:
-    """The keys under which a set is entered; two sets that link share one."""
+def block_keys(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The keys under which a set is entered; two sets that link share one. common: sorted hashes, in any number."""
     n = len(h)
     if not n:
         return h
+    at = np.searchsorted(common, h)
+    rare = common[np.minimum(at, len(common) - 1)] != h if len(common) else np.ones(n, bool)
     most = (n + 4 * n // 3) // 7
     band = (n.bit_length() - 1) // 2
-    out = []
+    out, instead = [], False
     for b in (band, band + 1) if 4 * n // 3 >= 4 ** (band + 1) else (band,):
         m = mix64(h + np.uint64(b + 1))
         block = ((m >> np.uint64(32)) % np.uint64(max(1, 4 ** (b + 1) // 2))).astype(np.int64)
@@ -77,17 +84,18 @@ def block_keys(h: np.ndarray) -> np.ndarray:
         block = block[order]
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         parity = np.bitwise_xor.reduceat(mix64(m[order]), first)
-        bits = np.diff(np.r_[first, n])
+        bits = np.add.reduceat(rare[order].astype(np.int64), first)
         keys = mix64(parity + block[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b))
-        if len(keys) > most:
-            keys = keys[np.lexsort((keys, -bits))[: most + 1]]
-        else:
-            out.append(mix64(h[: n - (3 * n + 3) // 4 + 1] ^ np.uint64(0xD6E8FEB86659FD93)))
-        out.append(keys)
+        pick = np.lexsort((keys, -bits))[: most + 1]
+        whole = bits[pick] > 0
+        instead |= len(pick) <= most or not whole.all()
+        out.append(keys[pick[whole]])
+    if instead:
+        out.append(mix64(h[np.lexsort((h, ~rare))[: n - (3 * n + 3) // 4 + 1]] ^ np.uint64(0xD6E8FEB86659FD93)))
     return np.concatenate(out)
 
 
-def _entries(batches):
+def _entries(batches, common: np.ndarray):
     """(key, node) of (text): each set once in a run of rows."""
     for batch in batches:
         seen: set[int] = set()
@@ -97,7 +105,7 @@ def _entries(batches):
             node = node_of(h)
             if len(h) and node not in seen:
                 seen.add(node)
-                keys.append(block_keys(h).view(np.int64))
+                keys.append(block_keys(h, common).view(np.int64))
                 nodes.append(np.full(len(keys[-1]), node, np.int64))
                 total += len(keys[-1])
                 if total >= _ROWS:
@@ -191,6 +199,16 @@ def _linked(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataF
     return stored(spark, texts.mapInArrow(_verify, "a long, b long"), "links")
 
 
+def _common(docs: DataFrame, nodes: DataFrame) -> np.ndarray:
+    """Shingles that COMMON_IN or more of a bounded sample of sets hold, the most frequent COMMON_MOST of them."""
+    share = min(1.0, SAMPLE / max(1, nodes.count()))
+    picked = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < share * (1 << 30)).select(F.col("doc").alias("doc_id"))
+    rows = scored(docs.join(F.broadcast(picked), "doc_id"), [], "h array<long>", lambda texts: [[shingles(t).view(np.int64) for t in texts]])
+    counts = rows.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_IN)
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").toPandas()
+    return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs (doc_id, text).
 
@@ -208,7 +226,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL")
     nodes = sizes.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(spark, nodes, "nodes")
-    entries = docs.mapInArrow(_entries, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    held = spark.sparkContext.broadcast(_common(docs, nodes))
+    entries = docs.mapInArrow(lambda batches: _entries(batches, held.value), "key long, node long").repartition("key").sortWithinPartitions("key", "node")
     groups = stored(spark, entries.mapInArrow(_groups, "key long, node long, first long, previous long"), "groups")
     ends = groups.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
     ends = ends.unionByName(groups.select(F.least("previous", "node").alias("a"), F.greatest("previous", "node").alias("b"))).where("a <> b").distinct()
