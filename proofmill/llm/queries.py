@@ -1,11 +1,12 @@
 """Registered queries of this subpackage."""
 
-from . import decontaminate, langid, linededup, mixing, paritysketch, pii, quality, spotsigs, suffixdedup
+from . import decontaminate, langid, linededup, lmscore, mixing, paritysketch, pii, quality, spotsigs, suffixdedup
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op2_decontamination": decontaminate.query,
     "op3_quality_classifier": quality.query,
+    "op4_lm_scoring": lmscore.query,
     "op5_mixing": mixing.query,
     "op6_fuzzy_line_dedup": linededup.query,
     "op7_pii": pii.query,
