@@ -166,8 +166,8 @@ def scored(docs: DataFrame, keep: list[str], extra: str, score: Callable[[list],
 
     def run(batches):
         for b in batches:
-            made = score(b.column("text").to_pylist())
+            made = score(b.column(0).to_pylist())
             columns = [pa.array(x, kind) for x, kind in zip(made, target.types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *columns], [*keep, *target.names])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns], [*keep, *target.names])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(F.col("text").alias("pm_input"), *keep).mapInArrow(run, schema)
