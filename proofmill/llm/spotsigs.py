@@ -28,7 +28,17 @@ SPARSE = 8
 #: Likeness below this is reported as 0 where the lengths alone show it.
 FLOOR = 0.05
 _MARK = "\x01"
-_ANY = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
+
+
+def _prefix_tree(words: list[str]) -> str:
+    """One regular expression for the words that shares their beginnings, so that few branches are tried."""
+    heads = sorted({w[0] for w in words if w})
+    parts = [h + _prefix_tree([w[1:] for w in words if w[:1] == h]) for h in heads]
+    body = "|".join(parts)
+    return f"(?:{body}){'?' if '' in words else ''}" if len(parts) > 1 or ("" in words and parts) else body
+
+
+_ANY = _prefix_tree(sorted(set(ANCHORS)))
 
 
 def plain(text: Column) -> Column:
@@ -36,16 +46,21 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}\x01]++", " "))
 
 
-def signatures(text: Column) -> Column:
-    """The set of signatures, as 64-bit hashes. Equal texts have equal sets; a text without a chain has one signature."""
-    low = plain(text)
-    marked = F.regexp_replace(low, rf"(?<![^ ])(?:{_ANY}) (?=[^ ])", _MARK)
-    spots = F.regexp_extract_all(marked, F.lit(rf"\x01(?=([^ \x01]++(?: \x01*+[^ \x01]++){{{CHAIN - 1}}}))"), F.lit(1))
-    chains = F.regexp_extract_all(low, F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{CHAIN - 1}}}))"), F.lit(1))
-    words = F.length(low) - F.length(F.replace(low, F.lit(" "), F.lit(""))) + 1
-    some = F.when(F.size(spots) * SPARSE < words, F.concat(spots, chains)).otherwise(spots)
-    some = F.when(F.size(some) == 0, F.array(low)).otherwise(some)
-    return F.array_distinct(F.transform(some, lambda x: F.xxhash64(F.replace(x, F.lit(_MARK), F.lit("")))))
+def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with a column of the set of signatures of a text column, as 64-bit hashes.
+
+    Equal texts have equal sets; a text without a chain has one signature. Each step is a column of its own, so that
+    none is evaluated twice.
+    """
+    df = df.withColumn("pm_low", plain(F.col(text)))
+    df = df.withColumn("pm_marked", F.regexp_replace("pm_low", rf"(?<![^ ])(?:{_ANY}) (?=[^ ])", _MARK))
+    df = df.withColumn("pm_spots", F.regexp_extract_all("pm_marked", F.lit(rf"\x01(?=([^ \x01]++(?: \x01*+[^ \x01]++){{{CHAIN - 1}}}))"), F.lit(1)))
+    chains = F.regexp_extract_all("pm_low", F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{CHAIN - 1}}}))"), F.lit(1))
+    words = F.length("pm_low") - F.length(F.replace("pm_low", F.lit(" "), F.lit(""))) + 1
+    df = df.withColumn("pm_some", F.when(F.size("pm_spots") * SPARSE < words, F.concat("pm_spots", chains)).otherwise(F.col("pm_spots")))
+    df = df.withColumn("pm_some", F.when(F.size("pm_some") == 0, F.array("pm_low")).otherwise(F.col("pm_some")))
+    made = F.array_distinct(F.transform("pm_some", lambda x: F.xxhash64(F.replace(x, F.lit(_MARK), F.lit("")))))
+    return df.withColumn(name, made).drop("pm_low", "pm_marked", "pm_spots", "pm_some")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -95,13 +110,15 @@ def edited_fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lengths = base.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(cut).alias("cut"))
     links = following(spark, lengths.select("doc_id")).join(lengths, "doc_id")
     links = stored(spark, links.select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), "cut"), "following")
-    ahead = base.join(links, "doc_id").select("for_id", F.substring("text", F.lit(1), F.col("cut")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    known = base.where("doc_id IS NOT NULL")
+    ahead = with_signatures(known.join(links, "doc_id"), "text", "next_sigs").select("for_id", F.substring("text", F.lit(1), F.col("cut")).alias("head"), "next_sigs")
     ahead = ahead.groupBy("for_id").agg(F.min_by(F.struct("head", "next_sigs"), F.col("head")).alias("ahead"))
-    got = base.join(ahead, base["doc_id"] == ahead["for_id"], "left")
+    got = known.join(ahead, known["doc_id"] == ahead["for_id"], "left").select("doc_id", "text", "ahead")
+    got = got.unionByName(base.where("doc_id IS NULL").withColumn("ahead", F.lit(None).cast(got.schema["ahead"].dataType)))
     tail = F.coalesce(F.substring(F.col("ahead.head"), F.lit(1), cut), F.lit(""))
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), tail)
-    got = got.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), signatures(F.col("text")).alias("sigs"), F.col("ahead.next_sigs").alias("next_sigs"))
-    got = got.withColumn("edited_sigs", signatures(F.col("edited")))
+    got = got.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), F.col("ahead.next_sigs").alias("next_sigs"))
+    got = with_signatures(with_signatures(got, "text", "sigs"), "edited", "edited_sigs")
     return got.select(
         "doc_id",
         "n_chars",
