@@ -70,6 +70,19 @@ def _leaves(g: np.ndarray, h: np.ndarray, cuts: int) -> list[tuple[int, int, flo
     return [(a, b, (G[b] - G[a]) / (H[b] - H[a] + 1.0)) for a, b in runs]
 
 
+def _first_cut(G: np.ndarray, H: np.ndarray) -> int:
+    """The cut of the first axis whose parts gain most from one cut each of the second: an interaction need not show
+    in either axis alone."""
+    if len(G) < 2:
+        return len(G)
+    total = 0.0
+    for g, h in ((np.cumsum(G, 0)[:-1], np.cumsum(H, 0)[:-1]), (np.cumsum(G[::-1], 0)[-2::-1], np.cumsum(H[::-1], 0)[-2::-1])):
+        left, left_h = np.cumsum(g, 1), np.cumsum(h, 1)
+        right, right_h = left[:, -1:] - left, left_h[:, -1:] - left_h
+        total = total + (left**2 / (left_h + 1.0) + right**2 / (right_h + 1.0)).max(1)
+    return int(total.argmax()) + 1
+
+
 class Model:
     """Bin edges and tables of every feature, tables of the chosen pairs, and the intercept."""
 
@@ -111,7 +124,8 @@ class Model:
                 g, h = slope()
                 G, H = (np.bincount(b[i] * t.shape[1] + b[j], v, t.size).reshape(t.shape) for v in (g, h))
                 step = np.zeros(t.shape)
-                for lo, hi, _ in _leaves(G.sum(1), H.sum(1), 1):  # one cut on i, then two on j in each part
+                cut = _first_cut(G, H)
+                for lo, hi in ((0, cut), (cut, len(G))):  # one cut on i, then two on j in each part
                     for lo2, hi2, v in _leaves(G[lo:hi].sum(0), H[lo:hi].sum(0), 2):
                         step[lo:hi, lo2:hi2] = RATE * v
                 t += step

@@ -17,7 +17,7 @@ from .common import stored
 
 # Common words of English, French, German and Spanish, in that order.
 ANCHORS = (
-    "the of and to in is it that was for on are as with his they at be this have from or had by not but what all were we when your can there an "
+    "the of and a to in is it that was for on are as with his they at be this have from or had by not but what all were we when your can there an "
     "le la les un une des du de et en que qui dans pour par sur au aux avec est ce il elle ne pas "
     "der die das den dem ein eine und zu von mit sich auf für ist im nicht auch als bei nach "
     "el los las y del se lo con su para como más pero sus al una por no si"
