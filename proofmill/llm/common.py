@@ -38,6 +38,13 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so Arrow batches get a bound in bytes that leaves room in an executor; a user's own is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(name, "8MB")
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string")) % n
@@ -160,6 +167,7 @@ def distinct_sorted(h: np.ndarray) -> np.ndarray:
 
 def scored(docs: DataFrame, keep: list[str], extra: str, score: Callable[[list], list]) -> DataFrame:
     """keep columns of docs (unchanged, any type) and the columns `extra` that score(texts) gives, row by row."""
+    small_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [extra])
     target = to_arrow_schema(StructType.fromDDL(extra))

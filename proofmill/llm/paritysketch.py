@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, distinct_sorted, lowered, mix64, scored, shingle_hashes, stored, word_hashes
+from .common import components, distinct_sorted, lowered, mix64, scored, shingle_hashes, small_batches, stored, word_hashes
 
 K = 5
 #: Members that one text is compared with in one group of the verification.
@@ -216,6 +216,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     empty set and are linked with nothing; rows without doc_id have a null component_id; repeated rows and equal
     texts are in one component; an empty table gives none. Other columns are not read.
     """
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
 
     def measure(texts):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _INV, _POW, mix64, stored
+from .common import _BYTE, _INV, mix64, _POW, small_batches, stored
 
 SIZE, GRAM = 100, 24
 REACH = SIZE - GRAM  # the gram lies 0 to REACH bytes after the start of its window
@@ -316,6 +316,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lose nothing. doc_id must tell documents apart: rows without one, and all but the least text of a repeated id,
     are left out of the comparison and returned whole. An empty table gives none.
     """
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id IS NOT NULL")
     double = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
