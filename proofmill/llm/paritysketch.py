@@ -18,8 +18,9 @@ is at most D = (|A| + |B|) / 7 (for 0.75), so of the blocks that a sketch is cut
 
 Only components are asked for, so a group that shares a block is not expanded into its pairs: each member is first
 paired with the group's first and previous members, components are formed from the pairs that link, and only then
-members of one group that still are in different components are paired. Each link either is in a component
-already or is verified, so none is lost. Copies with equal sets are one node from the start.
+members of one group that still are in different components are compared, sketch against sketch in blocks of arrays;
+what comes out is the pairs whose sketches allow a link, each under the first key they share. Each link either is in
+a component already or is verified, so none is lost. Copies with equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ CHUNK = 256
 #: Addresses of texts to verify are broadcast up to this many rows (40 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 400_000
 _ROWS = 1 << 17
+#: Groups of up to FEW members are paired by a join; larger ones are compared as arrays, in blocks of BLOCK members.
+FEW, BLOCK = 32, 2048
 #: Sample of sets that tells common shingles: their expected number, and what counts as common there.
 SAMPLE, COMMON_IN, COMMON_MOST = 4000, 4, 200_000
 
@@ -165,6 +168,72 @@ def _close(batches):
         yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all at the least width among them."""
+    width = min(map(len, sketches))
+    out = np.empty((len(sketches), width // 8), np.uint64)
+    for k, s in enumerate(sketches):
+        x = np.frombuffer(s, np.uint64)
+        while len(x) > width // 8:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[k] = x
+    return out
+
+
+def _compare(batches):
+    """Rows sorted by (key, i, j): members of blocks i and j of a group. Pairs in different components whose sizes and
+    sketches allow a link, where this is the first key that both have."""
+    names = ("key", "i", "j", "block", "node", "c", "n", "sketch", "keys")
+    held: list[tuple] = []
+
+    def pairs(rows: list[tuple]):
+        key, bi, bj = rows[0][:3]
+        block, node, c, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+        sketch = _folded([r[7] for r in rows])
+        keys = [frozenset(r[8]) for r in rows]
+        found = []
+        for a in np.flatnonzero(block == bi):
+            rest = np.arange(a + 1, len(rows)) if bi == bj else np.flatnonzero(block == bj)
+            rest = rest[(c[rest] != c[a]) & (100 * np.minimum(n[rest], n[a]) >= 75 * np.maximum(n[rest], n[a]))]
+            far = np.bitwise_count(sketch[rest] ^ sketch[a]).sum(1, dtype=np.int64)
+            for b in rest[far <= (n[rest] + n[a]) // 7]:
+                if min(keys[a] & keys[b]) == key:
+                    found.append((min(node[a], node[b]), max(node[a], node[b])))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+            if held and row[:3] != held[0][:3]:
+                if len(held) > 1:
+                    yield pairs(held)
+                held = []
+            held.append(row)
+    if len(held) > 1:
+        yield pairs(held)
+
+
+def _unsettled(spark: SparkSession, member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) within groups of (key, node, c) that are in different components and may link.
+
+    A join pairs the members of small groups, at most FEW - 1 rows for a member. Members of large groups travel with
+    their sketches and the large groups they are in, and only pairs whose sketches allow a link come out.
+    """
+    sizes = member.groupBy("key").agg(F.count("*").alias("g"))
+    member = stored(spark, member.join(sizes, "key"), "sized")
+    few = member.where(F.col("g") <= FEW).join(nodes.select("node", "n"), "node").select("key", "node", "c", "n")
+    other = few.select("key", *[F.col(c).alias(c + "2") for c in ("node", "c", "n")])
+    pairs = few.join(other, "key").where("c < c2 AND 100 * least(n, n2) >= 75 * greatest(n, n2)")
+    pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    many = member.where(F.col("g") > FEW)
+    keys = many.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    block = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1) / BLOCK).cast("int")
+    rows = many.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("g") - 1) / BLOCK).cast("int"))))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "c")
+    rows = rows.join(nodes.select("node", "n", "sketch").join(keys, "node"), "node")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a long, b long")
+    return pairs.unionByName(rows).distinct()
+
+
 def _verify(batches):
     """Rows sorted by (a, chunk, place): the text of a first, then those it is compared with."""
     at, mine = None, None
@@ -237,10 +306,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     comp = stored(spark, components(spark, links), "components")
     member = groups.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    member = stored(spark, member.join(mixed, "key").join(nodes.select("node", "n"), "node"), "members")
-    other = member.select("key", F.col("node").alias("node2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
-    rest = member.join(other, "key").where("c < c2 AND 100 * least(n, n2) >= 75 * greatest(n, n2)")
-    rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(ends, ["a", "b"], "left_anti")
+    member = stored(spark, member.join(mixed, "key"), "members")
+    rest = _unsettled(spark, member, nodes).join(ends, ["a", "b"], "left_anti")
     more = _linked(spark, docs, nodes, rest)
     comp = components(spark, links.unionByName(more))
     named = nodes.select("node", "doc").join(comp, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("c"))

@@ -78,8 +78,9 @@ def _brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_jaccard_components_are_exact(spark, small, monkeypatch, block):
+@pytest.mark.parametrize(("few", "block"), [(32, 2048), (2, 3)])
+def test_jaccard_components_are_exact(spark, small, monkeypatch, few, block):
+    monkeypatch.setattr(paritysketch, "FEW", few)
     monkeypatch.setattr(paritysketch, "BLOCK", block)
     rng = random.Random(5)
     rows = [(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").collect()]
