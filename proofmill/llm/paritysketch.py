@@ -325,12 +325,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component (the smallest id), with its own columns; rows without doc_id stay."""
-    found = jaccard_components(spark, docs)
-    keep = stored(spark, found.where("doc_id = component_id").select("doc_id").distinct(), "keep")
-    out = docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    gone = stored(spark, jaccard_components(spark, docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return out.select(*docs.columns)
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+        return out
+    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
 
 
 SQL = r"""
