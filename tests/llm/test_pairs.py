@@ -272,6 +272,19 @@ def test_line_dedup(spark, small):
     assert got <= want and len(want - got) <= 0.02 * len(want) and len(want) > 20
 
 
+def test_line_dedup_compares_all_members_of_a_bucket(spark):
+    """Lines that share a long passage share buckets; each has one near copy there, which is seldom the bucket's first."""
+    r = random.Random(5)
+    own = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = own(150)
+    lines = [(k, passage + own(100)) for k in range(400)]
+    copies = [(1000 + k, line[:-8] + own(8)) for k, line in lines]
+    docs = spark.createDataFrame([*lines, *copies], "doc_id long, text string")
+    assert all(len(_grams(a) & _grams(b)) >= 0.75 * len(_grams(a) | _grams(b)) for (_, a), (_, b) in zip(lines, copies, strict=True))
+    got = {x["doc_id"] for x in linededup.duplicate_lines(spark, docs).collect()}
+    assert got <= {k for k, _ in copies} and len(got) >= 396
+
+
 def test_line_dedup_odd(spark, odd, empty):
     assert {(r["doc_id"], r["line_no"]) for r in linededup.duplicate_lines(spark, odd).collect()} == {(6, 0)}
     assert linededup.duplicate_lines(spark, empty).count() == 0
