@@ -285,6 +285,20 @@ def test_line_dedup_compares_all_members_of_a_bucket(spark):
     assert got <= {k for k, _ in copies} and len(got) >= 396
 
 
+def test_line_dedup_signatures_of_short_lines_are_independent(spark):
+    """Pairs just at the threshold, 12 shingles against 9 of them: they share a band as often as stated."""
+    r = random.Random(6)
+    pairs = [(line, line[:24]) for line in ("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=27)) for _ in range(2000))]
+    signed = linededup._signatures(spark.createDataFrame([(x,) for p in pairs for x in p], "line string"))
+    named = spark.createDataFrame([(k, x) for k, p in enumerate(pairs) for x in p], "pair long, line string")
+    got: dict[int, list] = {}
+    for row in named.select("pair", F.xxhash64("line").alias("node")).join(signed, "node").collect():
+        got.setdefault(row["pair"], []).append([row[f"v{k}"] for k in range(linededup.BANDS * linededup.ROWS)])
+    step = linededup.ROWS
+    lost = sum(not any(a[k : k + step] == b[k : k + step] for k in range(0, len(a), step)) for a, b in got.values())
+    assert len(got) == 2000 and lost <= 12  # 2.6 expected
+
+
 def test_line_dedup_odd(spark, odd, empty):
     assert {(r["doc_id"], r["line_no"]) for r in linededup.duplicate_lines(spark, odd).collect()} == {(6, 0)}
     assert linededup.duplicate_lines(spark, empty).count() == 0
