@@ -104,6 +104,11 @@ def test_lm_adaptive_counts_are_a_sequence_of_predictions():
     assert math.isclose(lmscore.adaptive(counts, prior)[0], nats, rel_tol=1e-9)
 
 
+def test_lm_has_all_predictors_and_mixers():
+    assert lmscore.ORDERS == (0, 1, 2, 3, 4, None) and len(lmscore.TABLE_BITS) == 6
+    assert lmscore.Mixers().w.shape == (3, lmscore._GATES, 7)
+
+
 def test_lm_odd(spark, odd, empty):
     flags = {"training": F.lit(True), "held_out": F.lit(False)}
     got = lmscore.lm_scores(spark, odd.withColumns(flags)).collect()
