@@ -109,6 +109,12 @@ def test_lm_has_all_predictors_and_mixers():
     assert lmscore.Mixers().w.shape == (3, lmscore._GATES, 7)
 
 
+def test_lm_counts_keep_half_of_the_documents():
+    for n in (0, 1, 1499, 1500, 1501, 1600, 2000, 3000, 10**6):
+        assert lmscore.fit_share(n) <= 0.5 and n * lmscore.fit_share(n) <= lmscore.FIT_DOCS
+    assert math.isclose(10**6 * lmscore.fit_share(10**6), lmscore.FIT_DOCS)
+
+
 def test_lm_odd(spark, odd, empty):
     flags = {"training": F.lit(True), "held_out": F.lit(False)}
     got = lmscore.lm_scores(spark, odd.withColumns(flags)).collect()
