@@ -34,6 +34,9 @@ _ONE = re.compile(_NAMES, re.I)
 _BRACKET = re.compile(r"[ ]?[\[({<][ ]?(at|dot)[ ]?[\])}>][ ]?", re.I)
 #: Plain words only as a whole address: name at host dot host.
 _PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( at )[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)*?(?: dot )[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)*", re.I)
+#: The same where only one of at and dot is a plain word; a plain at needs a dot that was rewritten.
+_PLAIN_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( at )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.I)
+_PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9._%+-])@[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+", re.I)
 _DOT = re.compile(r" dot ", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9]) dot (?=[0-9])", re.I)
 
@@ -160,12 +163,16 @@ def deobfuscate(text: str) -> Rewritten:
                 plain.append((m.start(1), m.end(1), "@"))
                 plain += [(d.start(), d.end(), ".") for d in _DOT.finditer(r.text, m.end(1), m.end())]
             r.apply(plain)
+            r.apply([(d.start(), d.end(), ".") for m in _PLAIN_DOT.finditer(r.text) for d in _DOT.finditer(r.text, m.start(), m.end())])
             r.apply([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)])
+    if r.edits and " at " in r.text.lower():
+        r.apply([(m.start(1), m.end(1), "@") for m in _PLAIN_AT.finditer(r.text) if any(r.text[k] == "." and r.touched(k, k + 1) for k in range(m.end(1), m.end()))])
     return r
 
 
 def spans(text: str | None) -> tuple[list, list]:
-    """Base spans and all spans, as (start, kind, end). Null text is empty. Added spans overlap no base span."""
+    """Base spans and all spans, as (start, kind, end). Null text is empty. An added span overlaps base
+    spans only where it strictly contains them and is of their kind; they stay beside it."""
     text = text or ""
     base = detect(text)
     r = deobfuscate(text)
@@ -175,7 +182,7 @@ def spans(text: str | None) -> tuple[list, list]:
     for a, kind, b in detect(r.text):
         if r.touched(a, b):
             s, t = r.source(a, False), r.source(b, True)
-            if not any(x < t and s < y for x, _, y in base):
+            if all(y <= s or t <= x or (k == kind and s <= x and y <= t and (x, y) != (s, t)) for x, k, y in base):
                 more.add((s, kind, t))
     return base, sorted([*base, *more])
 

@@ -200,6 +200,12 @@ def test_pii_disguises():
         assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize("text", ["j\u043ehn.smith@mail.com", "john@mail.c\u043em", "joe@host dot com", "joe[at]host dot com", "joe at host[dot]com", "joe at host dot com"])
+def test_pii_whole_disguised_addresses(text):
+    base, every = pii.spans(f"Write to {text}, please")
+    assert (9, 0, 9 + len(text)) in every and set(base) <= set(every)
+
+
 def test_pii_leaves_plain_text_alone():
     for text in ("Meet at noon. Look at example.com for dot com stories.", "one of two, three or four", "The point at issue is dot matrix printing."):
         assert pii.spans(text) == ([], [])
