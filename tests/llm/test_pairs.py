@@ -241,7 +241,7 @@ def test_fingerprints_odd(spark, odd, empty):
 def _grams(line):
     u = line.encode("utf-16-be")
     n = len(u) // 2
-    return {u[2 * i : 2 * i + 32] for i in range(max(1, n - 15))}
+    return {u[2 * i : 2 * i + 20] for i in range(max(1, n - 9))}
 
 
 def test_line_dedup(spark, small):
@@ -288,7 +288,7 @@ def test_line_dedup_compares_all_members_of_a_bucket(spark):
 def test_line_dedup_signatures_of_short_lines_are_independent(spark):
     """Pairs just at the threshold, 12 shingles against 9 of them: they share a band as often as stated."""
     r = random.Random(6)
-    pairs = [(line, line[:24]) for line in ("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=27)) for _ in range(2000))]
+    pairs = [(line, line[:18]) for line in ("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=21)) for _ in range(2000))]
     signed = linededup._signatures(spark.createDataFrame([(x,) for p in pairs for x in p], "line string"))
     named = spark.createDataFrame([(k, x) for k, p in enumerate(pairs) for x in p], "pair long, line string")
     got: dict[int, list] = {}
@@ -299,6 +299,62 @@ def test_line_dedup_signatures_of_short_lines_are_independent(spark):
     assert len(got) == 2000 and lost <= 12  # 2.6 expected
 
 
+def _near_pair(r, n):
+    """A line of n shingles and a copy just above the threshold: edited in the middle, as far as 0.75 allows."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    line = "".join(r.choices(letters, k=n + 9))
+    a = _grams(line)
+    for width in range(n, 0, -1):
+        at = (len(line) - width) // 2
+        other = line[:at] + "".join(r.choices(letters, k=width)) + line[at + width :]
+        b = _grams(other)
+        if len(a & b) >= 0.75 * len(a | b):
+            return line, other
+    return line, line[1:]
+
+
+def test_line_dedup_recall_by_length(spark):
+    """Pairs just above 0.75 of each length, uniform lines, and families around one centre."""
+    r = random.Random(8)
+    sizes = (20, 40, 60, 90, 150, 300, 800)
+    rows, group = [], 0
+    for n in sizes:
+        for _ in range(150):
+            rows += [(group, n, x) for x in _near_pair(r, n)]
+            group += 1
+    for k in range(26):  # one letter each; lengths differ, the sets do not
+        rows += [(group, 0, chr(97 + k) * m) for m in (40, 120, 5000)]
+        group += 1
+    for _ in range(60):
+        line = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=200))
+        rows += [(group, 1, line)]
+        for _ in range(5):
+            at = r.randrange(170)
+            rows.append((group, 1, line[:at] + "".join(r.choices("0123456789", k=12)) + line[at + 12 :]))
+        group += 1
+    docs = spark.createDataFrame([(k, x) for k, (_, _, x) in enumerate(rows)], "doc_id long, text string")
+    gone = {x["doc_id"] for x in linededup.duplicate_lines(spark, docs).collect()}
+    for n in (0, 1, *sizes):
+        mine = [k for k, x in enumerate(rows) if x[1] == n]
+        groups = {}
+        for k in mine:
+            groups.setdefault(rows[k][0], []).append(k)
+        want = sum(len(g) - 1 for g in groups.values())
+        assert sum(k in gone for k in mine) >= (want if n == 0 else 0.98 * want), n
+    for g in {x[0] for x in rows}:
+        own = [k for k, x in enumerate(rows) if x[0] == g]
+        assert any(k not in gone for k in own)
+
+
+def test_line_dedup_catches_one_changed_character(spark):
+    """A character changed in the middle of a line of 80 or more."""
+    r = random.Random(9)
+    lines = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=r.randrange(80, 200))) for _ in range(300)]
+    rows = [(k, x) for k, x in enumerate(lines)] + [(1000 + k, x[: len(x) // 2] + "#" + x[len(x) // 2 + 1 :]) for k, x in enumerate(lines)]
+    got = {x["doc_id"] for x in linededup.duplicate_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) >= 297 and min(got) >= 1000
+
+
 def test_line_dedup_odd(spark, odd, empty):
     assert {(r["doc_id"], r["line_no"]) for r in linededup.duplicate_lines(spark, odd).collect()} == {(6, 0)}
     assert linededup.duplicate_lines(spark, empty).count() == 0
