@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +16,9 @@ TRAIN_DOCS_PER_LANG = 4000
 BITS = 16
 ORDERS = (1, 2, 3)
 ALPHA = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 19
+#: Weights are whole multiples of this part of 1, so that sums are exact in any order.
+_UNIT = 1 << 20
 
 
 @lru_cache(1)
@@ -26,31 +26,38 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _buckets(texts: list[str]):
-    """For texts of bounded total length: for each order the buckets of all n-grams and where each text begins."""
-    low = [" " + t.lower() + " " for t in texts]
-    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _buckets(pieces: list[tuple[str, bool]]):
+    """For each order the buckets at all places of the joined pieces, and where those of each piece begin and end:
+    n-grams that reach into the next piece are outside."""
+    codes = np.frombuffer("".join(p for p, _ in pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(_letters()[codes], codes, np.uint32(32))
-    first = np.r_[0, np.cumsum([len(t) for t in low])[:-1]]
+    size = np.array([len(p) for p, _ in pieces])
+    first = np.cumsum(size) - size
+    most = np.array([len(p) if last else _CHUNK for p, last in pieces])
     h = np.zeros(len(codes), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         h = h[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] * np.uint32(0x85EBCA6B) + np.uint32(n)
         if n in ORDERS:
             x = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            yield (x >> np.uint32(32 - BITS)), np.minimum(first, max(0, len(x) - 1))
+            yield x >> np.uint32(32 - BITS), first, first + np.minimum(most, size - n + 1)
 
 
 def _pieces(texts: list[str]):
-    """(indices, pieces) with bounded total length; a long text comes in several pieces."""
+    """(indices, pieces) with bounded total length; a piece is (characters, whether the text ends with it). A text
+    has a blank before it and enough behind it for every order; each piece of a long one reaches into the next as far
+    as the n-grams that begin in it."""
+    over = max(ORDERS) - 1
     ids, got, total = [], [], 0
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t)), _CHUNK):
-            piece = t[at : at + _CHUNK]
+        low = " " + t.lower() + " " * over
+        for at in range(0, len(low) - over, _CHUNK):
+            last = at + _CHUNK >= len(low) - over
+            piece = low[at:] if last else low[at : at + _CHUNK + over]
             if got and total + len(piece) > _CHUNK:
                 yield ids, got
                 ids, got, total = [], [], 0
             ids.append(i)
-            got.append(piece)
+            got.append((piece, last))
             total += len(piece)
     if got:
         yield ids, got
@@ -63,8 +70,11 @@ def counts(frames):
         for lang, part in f.groupby("lang"):
             n = sums.setdefault(lang, np.zeros(1 << BITS, np.int64))
             for _, pieces in _pieces(part["text"].tolist()):
-                for b, _first in _buckets(pieces):
-                    n += np.bincount(b, minlength=1 << BITS)
+                for b, first, end in _buckets(pieces):
+                    inside = np.zeros(len(b) + 1, np.int32)
+                    np.add.at(inside, first, 1)
+                    np.add.at(inside, end, -1)
+                    n += np.bincount(b[np.cumsum(inside[:-1]) > 0], minlength=1 << BITS)
     for lang, n in sums.items():
         at = np.flatnonzero(n)
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
@@ -76,19 +86,22 @@ class Model:
     def __init__(self, langs: list[str], docs: np.ndarray, table: np.ndarray):
         p = np.log(table + ALPHA) - np.log((table + ALPHA).sum(1, keepdims=True))
         self.langs, self.prior = langs, np.log(docs / docs.sum())
-        self.weights = np.ascontiguousarray(p - p.mean(0), np.float32)
+        self.weights = np.ascontiguousarray(np.round((p - p.mean(0)) * _UNIT), np.int32)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         known = [t or "" for t in texts]
-        total = np.tile(self.prior, (len(known), 1))
+        total = np.zeros((len(known), len(self.langs)), np.int64)
         for ids, pieces in _pieces(known):
-            for b, first in _buckets(pieces):
+            for b, first, end in _buckets(pieces):
+                edge = np.stack([first, end], 1).ravel()
                 for k in range(len(self.langs)):
-                    np.add.at(total[:, k], ids, np.add.reduceat(self.weights[k][b], first, dtype=np.float64))
-        e = np.exp(total - total.max(1, keepdims=True))
-        best = total.argmax(1)
+                    sums = np.add.reduceat(np.r_[self.weights[k][b], np.int32(0)], edge, dtype=np.int64)[::2]
+                    np.add.at(total[:, k], ids, sums)
+        odds = total / _UNIT + self.prior
+        e = np.exp(odds - odds.max(1, keepdims=True))
+        best = odds.argmax(1)
         score = e[np.arange(len(best)), best] / e.sum(1)
-        none = np.array([not _LETTER.search(t) for t in known], bool)
+        none = np.array([not any(map(str.isalpha, t)) for t in known], bool)
         return ["und" if x else self.langs[k] for x, k in zip(none, best, strict=True)], np.where(none, 0.0, score)
 
 

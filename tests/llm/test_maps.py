@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -63,6 +64,30 @@ def _tokens(text):
     return re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) + ["\0end"]
 
 
+def test_language_scores_depend_on_the_text_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs.dropna())
+    got = [sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.predict(spark, docs.repartition(n), model, ["doc_id"]).collect()) for n in (1, 50)]
+    assert got[0] == got[1]
+    alone = model.predict(["hi there"])[1][0]
+    assert all(model.predict(["hi there", x])[1][0] == alone for x in ("zebra", "", "hi there", "Übung macht den Meister"))
+    assert model.predict(["\u00b2 \u00bd 12", "", None])[0] == ["und"] * 3
+
+
+@pytest.mark.parametrize("chunk", [3, 5, 64])
+def test_language_pieces_hold_each_ngram_once(monkeypatch, chunk):
+    texts = ["", "a", "Hello over there", "x" * 40, "Straße 12 und mehr Wörter"]
+    def grams():
+        total = []
+        for ids, pieces in langid._pieces(texts):
+            for b, first, end in langid._buckets(pieces):
+                total += [(i, x) for i, f, e in zip(ids, first, end, strict=True) for x in b[f:e].tolist()]
+        return Counter(total)
+    want = grams()
+    monkeypatch.setattr(langid, "_CHUNK", chunk)
+    assert grams() == want and sum(want.values()) == sum(3 * (len(t.lower()) + 3) - 3 for t in texts)
+
+
 def test_lm_base_is_exact_and_scores_are_log_probabilities(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
     count = Counter()
@@ -267,9 +292,39 @@ def test_decontamination_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     index = decontaminate.Index(list(range(50)), [" ".join(map(str, rng.integers(0, 99, 30))) for _ in range(50)])
     for _ in range(200):
-        p = int(index.prints[rng.integers(50)]) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 40), replace=False))
-        want = [k for k in range(50) if (int(index.prints[k]) ^ p).bit_count() <= decontaminate.RADIUS]
-        assert index.lookup(p).tolist() == want
+        flips = np.zeros(256, np.uint8)
+        flips[rng.choice(256, rng.integers(0, 120), replace=False)] = 1
+        p = index.prints[rng.integers(50)] ^ np.packbits(flips).view(np.uint32)
+        want = [k for k in range(50) if int(np.bitwise_count(index.prints[k] ^ p).sum()) <= decontaminate.RADIUS]
+        assert index.lookup(p).tolist() == want and set(want) <= set(index.near_blocks(p).tolist())
+
+
+def test_decontamination_index_filters():
+    """At 50,000 unrelated items at most 1 % come back from the blocks."""
+    rng = np.random.default_rng(2)
+    index = decontaminate.Index([], [])
+    index.prints = rng.integers(0, 2**32, (50_000, decontaminate.BLOCKS), dtype=np.uint32)
+    index.columns = np.ascontiguousarray(index.prints.T)
+    passed = [len(index.near_blocks(rng.integers(0, 2**32, decontaminate.BLOCKS, dtype=np.uint32))) for _ in range(40)]
+    assert np.mean(passed) <= 0.01 * 50_000
+
+
+def test_decontamination_recall_of_edited_items():
+    """Passages with runs of words inserted, missing or replaced, against every window by brute force."""
+    r = random.Random(3)
+    items = {k: " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 9))) for _ in range(r.randrange(25, 60))) for k in range(40)}
+    index = decontaminate.Index(list(items), list(items.values()))
+    want = found = 0
+    for trial in range(240):
+        k = r.randrange(40)
+        words = items[k].split()
+        run, at = r.randrange(1, 5), r.randrange(len(words) - 5)
+        words[at : at + (run if trial % 3 else 0)] = [f"new{i}" for i in range(run if trial % 3 != 1 else 0)]
+        text = "some words before " + " ".join(words) + " and words after it"
+        brute = _brute_matches(text, {k: items[k]})
+        want += len(brute)
+        found += len(brute & {m[0] for m in index.matches(text)})
+    assert want > 100 and found >= 0.995 * want
 
 
 def test_decontamination_odd(spark, odd, empty):
