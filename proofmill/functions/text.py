@@ -11,6 +11,13 @@ PAGE_CHARS = 2000
 NEGATORS = "not no never nor neither without cannot"
 COMPARATORS = "less more fewer greater least most below above under over before after minimum maximum"
 POLARITY = "|".join((NEGATORS + " " + COMPARATORS).split())
+# Further words whose exchange changes what a sentence says (number words, modals, determiners, links).
+MEANING = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty "
+    "fifty sixty seventy eighty ninety hundred thousand million billion first second third fourth fifth sixth seventh eighth ninth tenth half twice "
+    "hardly barely scarcely rarely seldom could would should might shall there their these those where which while whether although through though "
+    "unless until every other either since"
+).split()
 NUMBER = r"[0-9][0-9,.]*[0-9]|[0-9]"
 
 

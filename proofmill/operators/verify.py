@@ -2,13 +2,15 @@
 
 The first three rungs are one join on the document with a regular expression per citation, evaluated by the engine. The expression quotes the text literally and looks at its surroundings:
 no letter or digit may continue a word, no figure a number, and no negator may stand just outside. The fuzzy rung
-compares word windows in Arrow batches and holds numbers and polarity words to equality.
+lines the quotation's words up with the page's, in Arrow batches: each word must be there in its place, as it is or as a
+spelling variant of a longer word; numbers, polarity words and contractions must be equal.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import normal, original_span
-from ..functions.text import NEGATORS, NUMBER, POLARITY
+from ..functions.text import MEANING, NEGATORS, POLARITY
+from ..sources.shared import stored
 
 GRADES = ("exact", "elided", "spanning", "fuzzy", "UNVERIFIED")
 FUZZY_AT_LEAST = 0.92
@@ -69,39 +72,70 @@ def _best(hits: DataFrame) -> DataFrame:
     return out.select("answer_id", "cite_id", "b.rank", "b.page_no", "b.start", "b.end", "b.ocr", "times")
 
 
+_FIXED = frozenset([*POLARITY.split("|"), *MEANING])
+_TURNS = ("un", "in", "im", "il", "ir", "dis", "non", "mis", "de", "anti", "over", "under", "re", "pre")
+
+
+def _apart(a: str, b: str, most: int) -> int:
+    """Edit distance, a swap of neighbours counting once; more than `most` may come out too small, never below it."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            cost = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                cost = min(cost, rows[-2][j - 2] + 1)
+            row.append(cost)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def same_word(a: str, b: str) -> bool:
+    """Whether two words are one, or spelling variants: five letters or more, one edit apart (two from nine letters on),
+    and not words whose exchange changes the meaning."""
+    a, b = a.lower().strip(".,;:!?()[]\"'“”‘’"), b.lower().strip(".,;:!?()[]\"'“”‘’")
+    if a == b:
+        return True
+    if min(len(a), len(b)) < 5 or a in _FIXED or b in _FIXED or not (a.replace("-", "").isalpha() and b.replace("-", "").isalpha()):
+        return False
+    if any(x == turn + y or x == y + end for x, y in ((a, b), (b, a)) for turn in _TURNS for end in ("s", "less", "ed", "d")):
+        return False
+    most = 1 if min(len(a), len(b)) < 9 else 2
+    return _apart(a, b, most) <= most
+
+
 def fuzzy_match(page: str, quote: str, at_least: float = FUZZY_AT_LEAST) -> tuple[float, int, int, str]:
-    """(similarity, start, end, fault) of the most similar window of words; fault is empty if it may count."""
-    words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\S+", page)]
-    want = quote.split()
+    """(similarity, start, end, fault) of the window of as many words that has most of the quotation's words in their
+    places; fault is empty if it may count. Windows with fewer than half of them are not looked at."""
     if re.search(_ELLIPSIS, quote):
         return (0.0, -1, -1, "stitched")
-    ends = {w.lower().strip(".,;:") for w in (*want[:2], *want[-2:])}
+    words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\S+", page)]
+    want = quote.split()
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(want):
+        places.setdefault(w, []).append(i)
+    votes = Counter(j - i for j, w in enumerate(words) for i in places.get(w[0], ()))
     best = (0.0, -1, -1, "not found")
-    near = [i for i, w in enumerate(words) if w[0].lower().strip(".,;:") in ends]
-    starts = sorted({s for i in near for s in (i, i - 1, i - len(want) + 1, i - len(want) + 2) if 0 <= s < len(words)})
-    pick = lambda pattern, text: re.findall(pattern, text.lower())
-    bag = set(want)
-    for s in starts:
-        for n in (len(want) - 1, len(want), len(want) + 1):
-            if n < 1 or s + n > len(words) or 2 * sum(w[0] in bag for w in words[s : s + n]) < n - 4:
-                continue
-            a, b = words[s][1], words[s + n - 1][2]
-            matcher = difflib.SequenceMatcher(None, quote, page[a:b], autojunk=False)
-            if matcher.quick_ratio() < max(0.6, best[0] if not best[3] else 0.6):
-                continue
-            similar = matcher.ratio()
-            part = page[a:b]
-            fault = ""
-            if pick(NUMBER, part) != pick(NUMBER, quote):
-                fault = "number"
-            elif pick(rf"\b(?:{POLARITY})\b", part) != pick(rf"\b(?:{POLARITY})\b", quote):
-                fault = "polarity"
-            elif similar < at_least:
-                fault = "not found"
-            elif re.search(rf"\b(?:{_NOT}) $", page[:a], re.I) or re.match(rf" (?:{_NOT})\b", page[b:], re.I):
-                fault = "polarity"
-            if (not fault, similar) > (not best[3], best[0]):
-                best = (similar, a, b, fault)
+    for s, n in sorted(votes.items()):
+        if 2 * n < len(want) or s < 0 or s + len(want) > len(words):
+            continue
+        window = words[s : s + len(want)]
+        a, b = window[0][1], window[-1][2]
+        differ = [(x, w[0]) for x, w in zip(want, window, strict=True) if x != w[0] and not same_word(x, w[0])]
+        similar = difflib.SequenceMatcher(None, quote, page[a:b], autojunk=False).ratio()
+        fault = ""
+        if any(re.search("[0-9]", x + y) for x, y in differ):
+            fault = "number"
+        elif any(re.fullmatch(rf"(?:{POLARITY}|.*n't)\W*", z, re.I) for x, y in differ for z in (x, y)):
+            fault = "polarity"
+        elif differ or similar < at_least:
+            fault = "not found"
+        elif re.search(rf"(?:\b(?:{_NOT})|n't) $", page[:a], re.I) or re.match(rf" (?:{_NOT})\b", page[b:], re.I):
+            fault = "polarity"
+        if (not fault, similar) > (not best[3], best[0]):
+            best = (similar, a, b, fault)
     return best
 
 
@@ -114,8 +148,10 @@ def _fuzzy(page: pd.Series, quote: pd.Series) -> pd.DataFrame:
 def grade(citations: DataFrame, pages: DataFrame) -> DataFrame:
     """The ledger: one row per citation (answer_id, cite_id, doc_id, page_hint, quote), with doc_id joined to pages
     (doc_id, page_no, text, ocr). Three rungs share one join; only citations that they miss reach the fuzzy one."""
-    cites = prepared(citations.select("answer_id", "cite_id", "doc_id", "page_hint", "quote"))
-    pages = indexed(pages.select("doc_id", "page_no", "text", "ocr"))
+    spark = citations.sparkSession
+    cites = stored(spark, prepared(citations.select("answer_id", "cite_id", "doc_id", "page_hint", "quote")), "citations")
+    cited = cites.select("doc_id").distinct()
+    pages = stored(spark, indexed(pages.select("doc_id", "page_no", "text", "ocr").join(cited, "doc_id", "left_semi")), "pages")
     usable = cites.where("NOT blank").withColumns({"exact": exact_pattern(F.col("n_quote")), "elided": elided_pattern(F.col("n_quote"))})
     key = ["answer_id", "cite_id"]
 
@@ -134,7 +170,7 @@ def grade(citations: DataFrame, pages: DataFrame) -> DataFrame:
     hits = hits.select(*key, "rank", "page_no", "page_hint", "ocr", times.alias("times"), "text", original_span("source", at, size).alias("span"))
     back = F.when(F.col("rank") == 3, F.greatest(F.length("text") - SEAM, F.lit(0))).otherwise(0)
     hits = hits.withColumn("span", F.struct((F.col("span.start") + back).alias("start"), (F.col("span.end") + back).alias("end")))
-    sure = _best(hits)
+    sure = stored(spark, _best(hits), "sure")
     tried = usable.join(sure, key, "left_anti").join(pages, "doc_id").withColumn("f", _fuzzy("norm", "n_quote"))
     fuzzy = tried.withColumns({"rank": F.lit(4), "times": F.lit(1), "span": original_span("text", F.col("f.at"), F.col("f.size"))})
     off = F.when(F.col("page_no") == F.col("page_hint"), 0).otherwise(1)

@@ -139,6 +139,32 @@ def verify_uncited(spark, sf):
     return verify.uncited(cites.select("answer_id", "claim_id"), cites.where("doc_id % 3 <> 0")).select("claim_id")
 
 
+_EIGHT = "list_slice(string_split(trim(b), ' '), 3, 10)"
+_MUTATED = f"""m AS (
+  SELECT doc_id, b, w, list_filter(w, lambda x: regexp_matches(x, '^[a-z]{{9,}}$'))[1] AS long FROM (SELECT doc_id, b, {_EIGHT} AS w {_FROM} WHERE {_LONG})),
+q AS (
+  SELECT 'dropped' AS kind, doc_id, b, array_to_string(list_slice(w, 1, 3) || list_slice(w, 5, 8), ' ') AS quote FROM m
+  UNION ALL SELECT 'swapped', doc_id, b, array_to_string(list_slice(w, 1, 2) || [w[4], w[3]] || list_slice(w, 5, 8), ' ') FROM m
+  UNION ALL SELECT 'slip', doc_id, b, replace(array_to_string(w, ' '), long, substr(long, 1, 3) || substr(long, 5)) FROM m
+    WHERE length(array_to_string(w, ' ')) - length(replace(array_to_string(w, ' '), long, '')) = length(long))"""
+
+
+@query(f"WITH {_MUTATED} SELECT kind || '/' || doc_id AS cite_id, CASE WHEN kind = 'slip' THEN 'fuzzy' ELSE 'UNVERIFIED' END AS grade FROM q WHERE instr(b, quote) = 0")
+def verify_mutated(spark, sf):
+    """A word left out or two words swapped must not pass; a slip in a long word may."""
+    docs = quotes(spark, sf).where("claim_id = 'exact'").join(table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[ \t\r\n]+", " ").alias("b")), "doc_id")
+    docs = docs.withColumn("w", F.split("quote", " "))
+    part = lambda *ks: F.concat_ws(" ", *[F.element_at("w", k) for k in ks])
+    long = F.get(F.filter("w", lambda x: F.regexp_like(x, F.lit("^[a-z]{9,}$"))), 0)
+    slip = F.replace("quote", long, F.concat(F.substring(long, 1, 3), F.substring(long, F.lit(5), F.length(long))))
+    once = F.length("quote") - F.length(F.replace("quote", long)) == F.length(long)
+    texts = {"dropped": part(1, 2, 3, 5, 6, 7, 8), "swapped": part(1, 2, 4, 3, 5, 6, 7, 8), "slip": F.when(once, slip)}
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), q.alias("q")) for k, q in texts.items()])
+    rows = docs.select("answer_id", "claim_id", "doc_id", "page_hint", "anchor", "b", F.inline(kinds)).where("q IS NOT NULL AND instr(b, q) = 0")
+    rows = rows.withColumns({"cite_id": F.concat_ws("/", "kind", F.col("doc_id").cast("string")), "quote": F.col("q")}).drop("b", "kind", "q")
+    return verify.grade(rows, graded_pages(spark, sf)).select("cite_id", "grade")
+
+
 # ---- the case matrix ----
 
 
@@ -207,28 +233,29 @@ def extract_grid(spark, sf):
     return extract.grid(_found(spark, sf), [f for f, _, _ in _FIELDS])
 
 
-@query(f"{_CELLS} SELECT field, count(*) AS cells, count(*) AS verified FROM c WHERE state <> 'absent' AND field = 'mail' GROUP BY field")
+@query(f"{_CELLS} SELECT field, count(*) AS cells, count(*) AS verified FROM c WHERE state <> 'absent' GROUP BY field")
 def extract_verified(spark, sf):
     """Cells as an answer, graded like any other."""
-    _, cites = extract.as_answer(_found(spark, sf).where("field = 'mail'"), "grid")
+    found = _found(spark, sf)
+    _, cites = extract.as_answer(found, "grid")
     led = verify.grade(cites, graded_pages(spark, sf))
-    return led.groupBy(F.lit("mail").alias("field")).agg(F.count("*").alias("cells"), F.count_if(F.col("grade") != "UNVERIFIED").alias("verified"))
+    return led.groupBy(F.substring_index("cite_id", "/", -1).alias("field")).agg(F.count("*").alias("cells"), F.count_if(F.col("grade") != "UNVERIFIED").alias("verified"))
 
 
 # ---- reports ----
 
 
-@query(f"WITH {_GRADES} SELECT d.doc_id, count(g.doc_id) AS citations, count(g.doc_id) > 0 AS used FROM documents d LEFT JOIN (SELECT * FROM g WHERE cite_id LIKE 'exact/%' AND doc_id % 5 = 0) g USING (doc_id) GROUP BY d.doc_id")
+@query(f"WITH {_GRADES} SELECT d.doc_id, count(g.doc_id) AS citations, count(g.doc_id) > 0 AS used FROM documents d LEFT JOIN (SELECT * FROM g WHERE cite_id LIKE 'exact/%') g USING (doc_id) GROUP BY d.doc_id")
 def report_sources(spark, sf):
-    led = verify.grade(quotes(spark, sf).where("claim_id = 'exact' AND doc_id % 5 = 0"), graded_pages(spark, sf))
+    led = verify.grade(quotes(spark, sf).where("claim_id = 'exact'"), graded_pages(spark, sf))
     docs = table(spark, sf, "documents").select("doc_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("timestamp").alias("saved_at"))
     return report.source_list(docs, led).select("doc_id", "citations", "used")
 
 
-@query(f"WITH {_GRADES}, {PAGES_SQL} SELECT doc_id, page_no, sha256(text) AS sha256 FROM pages_ WHERE (doc_id, page_no) IN (SELECT doc_id, page_no FROM g WHERE grade <> 'UNVERIFIED' AND doc_id % 5 = 0)")
+@query(f"WITH {_GRADES}, {PAGES_SQL} SELECT doc_id, page_no, sha256(text) AS sha256 FROM pages_ WHERE (doc_id, page_no) IN (SELECT doc_id, page_no FROM g WHERE grade <> 'UNVERIFIED')")
 def report_pages(spark, sf):
     pages = graded_pages(spark, sf)
-    led = verify.grade(quotes(spark, sf).where("doc_id % 5 = 0"), pages)
+    led = verify.grade(quotes(spark, sf), pages)
     return report.quoted_pages(pages, led).select("doc_id", "page_no", F.sha2("text", 256).alias("sha256"))
 
 
@@ -248,10 +275,10 @@ def report_find(spark, sf):
 
 _RUNS = """SELECT cast(doc_id AS string) AS id, source AS domain, concat('https://q/', doc_id % 5) AS source_url, doc_id % 10 <> 0 AS has_answer, doc_id % 9 <> 0 AS has_corpus, doc_id % 8 <> 0 AS has_output,
  n_chars % 20 + 1 AS citations, CASE WHEN n_chars % 5 = 0 THEN 1 ELSE 0 END AS failed, n_chars % 3 AS warnings, CASE n_chars % 4 WHEN 0 THEN NULL WHEN 1 THEN 'yes' WHEN 2 THEN 'partial' ELSE 'no' END AS agrees,
- CASE WHEN n_chars % 7 = 0 THEN 'checked by hand' END AS notes, doc_id AS seq, substr(text, 1, 100) AS question FROM documents WHERE doc_id < 300"""
+ CASE WHEN n_chars % 7 = 0 THEN 'checked by hand' END AS notes, doc_id AS seq, substr(text, 1, 100) AS question FROM documents"""
 _DOCS = """SELECT cast(d.doc_id AS string) AS answer_id, k AS doc_id, CASE WHEN (d.doc_id + k) % 13 = 0 THEN NULL ELSE concat('https://q/', (d.doc_id + k * (d.doc_id % 2)) % 5) END AS url, (d.doc_id + k) % 11 = 0 AS thin, k * 10 AS seq, (d.doc_id * k) % 3 <> 1 AS cited
- FROM documents d CROSS JOIN (VALUES (0), (1), (2)) AS v(k) WHERE d.doc_id < 300
- UNION ALL SELECT cast(doc_id AS string), 0, 'https://q/late', doc_id % 4 = 0, 99, false FROM documents WHERE doc_id < 300 AND doc_id % 6 = 0"""
+ FROM documents d CROSS JOIN (VALUES (0), (1), (2)) AS v(k)
+ UNION ALL SELECT cast(doc_id AS string), 0, 'https://q/late', doc_id % 4 = 0, CASE WHEN doc_id % 6 = 0 THEN 99 ELSE -1 END, false FROM documents"""
 _RUNS_DUCK, _DOCS_DUCK = (s.replace("AS string", "AS VARCHAR") for s in (_RUNS, _DOCS))
 _SEARCH_SQL = "s AS (SELECT conv_id AS answer_id, CASE WHEN turn % 4 = 2 THEN 'Contrary view' ELSE 'support' END AS purpose FROM conversations WHERE role = 'user')"
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,3 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="proofmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: it is made once, and outlives the loss of any executor."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

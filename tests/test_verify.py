@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from proofmill import schemas
@@ -64,3 +67,31 @@ def test_plan_joins_on_the_document(spark):
     plan = verify.grade(_cite(spark, [("D1", 1, "x")]), _pages(spark))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert F is not None
+
+
+def test_no_mutation_passes_as_fuzzy():
+    """One function word left out, put in or exchanged in a quotation of 20 words, and other turns of meaning."""
+    small = "the of and to in a is that for it as was with be by on not at from can can't will won't may must no five nine less more would could these those".split()
+    r = random.Random(1)
+    for _ in range(400):
+        words = [r.choice(small) if k % 2 else "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(5, 10))) for k in range(20)]
+        page = "Before it. " + " ".join(words) + " and after."
+        k = r.choice([i for i in range(2, 17) if i % 2])
+        for new in ([], [words[k], r.choice(small)], [r.choice([x for x in small if x != words[k]])]):
+            quote = " ".join([*words[:k], *new, *words[k + 1 :]])
+            assert verify.fuzzy_match(page, quote)[3] or quote in page, (page, quote)
+
+
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [("can't", "can"), ("won't", "will"), ("five", "nine"), ("legal", "illegal"), ("likely", "unlikely"), ("would", "could"), ("these", "those"), ("harm", "harmless"), ("17", "71"), ("must", "most"), ("three", "there"), ("increase", "decrease")],
+)
+def test_words_that_are_not_variants(a, b):
+    assert not verify.same_word(a, b) and not verify.same_word(b, a)
+
+
+def test_spelling_variants():
+    for a, b in (("replacment", "replacement"), ("colour", "color"), ("recieved", "received"), ("Agreement,", "agreement"), ("co-operate", "cooperate")):
+        assert verify.same_word(a, b) and verify.same_word(b, a)
+    page = "The supplier will deliver every replacement component to the warehouse within 14 working days."
+    assert verify.fuzzy_match(page, page.replace("replacement", "replacment"))[3] == ""
