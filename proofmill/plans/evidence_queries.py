@@ -77,7 +77,9 @@ def verify_grades(spark, sf):
 
 
 @query(
-    f"SELECT 'exact/' || doc_id AS cite_id, (instr(text, string_split(trim(b), ' ')[3]) > 0) AS there, substr(text, 1, 2000) IS NOT NULL AS paged {_FROM} WHERE {_LONG}"
+    r"SELECT cite_id, instr(text, original) - 1 AS start, original, page_no FROM (SELECT 'exact/' || doc_id AS cite_id, text, 1::INTEGER AS page_no, "
+    r"regexp_extract(text, '^[ \t\r\n]*[^ \t\r\n]+[ \t\r\n]+[^ \t\r\n]+[ \t\r\n]+([^ \t\r\n]+([ \t\r\n]+[^ \t\r\n]+){7})', 1) AS original "
+    + f"{_FROM} WHERE {_LONG})"
 )
 def verify_exact(spark, sf):
     """The address leads back to the quotation: the original at [start, end) has the quotation's normal form."""
@@ -85,7 +87,7 @@ def verify_exact(spark, sf):
     pages = graded_pages(spark, sf)
     led = verify.grade(cites, pages).where("grade = 'exact'").join(cites.select("cite_id", "quote"), "cite_id").join(pages.select("doc_id", "page_no", "text"), ["doc_id", "page_no"])
     at = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    return led.select("cite_id", (normal(at) == F.col("quote")).alias("there"), (F.col("page_no") == 1).alias("paged"))
+    return led.where(normal(at) == normal(F.col("quote"))).select("cite_id", "start", at.alias("original"), "page_no")
 
 
 @query(f"WITH {_GRADES} SELECT cite_id, page_no::INTEGER AS page_no FROM g WHERE grade = 'spanning'")
