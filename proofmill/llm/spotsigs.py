@@ -23,8 +23,8 @@ ANCHORS = (
     "el los las y del se lo con su para como más pero sus al una por no si"
 ).split()
 CHAIN = 3
-#: A text with fewer than one spot in this many words lets every word begin a chain.
-SPARSE = 8
+#: Where this is not 0, a text with fewer than one spot in so many words lets every word begin a chain.
+SPARSE = 0
 #: Likeness below this is reported as 0 where the lengths alone show it.
 FLOOR = 0.05
 _MARK = "\x01"
@@ -46,18 +46,20 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}\x01]++", " "))
 
 
-def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
+def with_signatures(df: DataFrame, text: str, name: str, sparse: int = SPARSE) -> DataFrame:
     """df with a column of the set of signatures of a text column, as 64-bit hashes.
 
     Equal texts have equal sets; a text without a chain has one signature. Each step is a column of its own, so that
     none is evaluated twice.
     """
     df = df.withColumn("pm_low", plain(F.col(text)))
-    df = df.withColumn("pm_marked", F.regexp_replace("pm_low", rf"(?<![^ ])(?:{_ANY}) (?=[^ ])", _MARK))
+    df = df.withColumn("pm_marked", F.regexp_replace("pm_low", rf"(?<![^ ])(?:{_ANY})(?: (?=[^ ])|$)", _MARK))
     df = df.withColumn("pm_spots", F.regexp_extract_all("pm_marked", F.lit(rf"\x01(?=([^ \x01]++(?: \x01*+[^ \x01]++){{{CHAIN - 1}}}))"), F.lit(1)))
-    chains = F.regexp_extract_all("pm_low", F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{CHAIN - 1}}}))"), F.lit(1))
-    words = F.length("pm_low") - F.length(F.replace("pm_low", F.lit(" "), F.lit(""))) + 1
-    df = df.withColumn("pm_some", F.when(F.size("pm_spots") * SPARSE < words, F.concat("pm_spots", chains)).otherwise(F.col("pm_spots")))
+    df = df.withColumn("pm_some", F.col("pm_spots"))
+    if sparse:
+        chains = F.regexp_extract_all("pm_low", F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{CHAIN - 1}}}))"), F.lit(1))
+        words = F.length("pm_low") - F.length(F.replace("pm_low", F.lit(" "), F.lit(""))) + 1
+        df = df.withColumn("pm_some", F.when(F.size("pm_spots") * sparse < words, F.concat("pm_spots", chains)).otherwise(F.col("pm_spots")))
     df = df.withColumn("pm_some", F.when(F.size("pm_some") == 0, F.array("pm_low")).otherwise(F.col("pm_some")))
     made = F.array_distinct(F.transform("pm_some", lambda x: F.xxhash64(F.replace(x, F.lit(_MARK), F.lit("")))))
     return df.withColumn(name, made).drop("pm_low", "pm_marked", "pm_spots", "pm_some")

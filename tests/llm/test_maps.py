@@ -140,6 +140,14 @@ def test_lm_counts_keep_half_of_the_documents():
     assert math.isclose(10**6 * lmscore.fit_share(10**6), lmscore.FIT_DOCS)
 
 
+@pytest.mark.parametrize("text", ["ab\tcd\t" * 40, "x" * 300, "a " + "y" * 200 + "\x0bz", " " * 100, "", "Ends in blanks.   "])
+def test_lm_pieces_cut_no_word(monkeypatch, text):
+    monkeypatch.setattr(lmscore, "_TEXT_BYTES", 16)
+    hashes = [b.hash for _, b in lmscore.batches_of([text, "and one more"])]
+    assert np.concatenate(hashes).tolist() == word_hashes(lowered(text)).tolist() + word_hashes(b"and one more").tolist()
+    assert sum(int(b.sizes.sum()) for _, b in lmscore.batches_of([text])) == len(text.encode())
+
+
 def test_lm_odd(spark, odd, empty):
     flags = {"training": F.lit(True), "held_out": F.lit(False)}
     got = lmscore.lm_scores(spark, odd.withColumns(flags)).collect()

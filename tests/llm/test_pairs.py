@@ -224,6 +224,34 @@ def test_signatures_by_hand(spark):
     assert len(spotsigs.with_signatures(df, "u", "s").first()["s"]) == 1
 
 
+def _brute_spots(text):
+    words = [w for w in re.sub("[ \t\n\x0b\f\r!-/:-@\\[-`{-~\x01]+", " ", (text or "").lower()).split(" ") if w]
+    common, found = set(spotsigs.ANCHORS), set()
+    for i, w in enumerate(words):
+        chain = [x for x in words[i + 1 :] if x not in common][: spotsigs.CHAIN]
+        if w in common and len(chain) == spotsigs.CHAIN:
+            found.add(" ".join(chain))
+    return found
+
+
+def test_likeness_against_brute_force(spark, small):
+    """near_next is the Jaccard similarity of the sets of chains, 0 where the lengths put it under FLOOR."""
+    rows = sorted((r["doc_id"], r["text"]) for r in small.where("doc_id < 100").select("doc_id", "text").collect())
+    rows += [(500 + k, " ".join(t.split()[: len(t.split()) * 9 // 10])) for k, t in rows[:40]]
+    rows = [(k // 500 + 2 * (k % 500), t) for k, t in rows]  # each shortened copy beside its original
+    got = {r["doc_id"]: r["near_next"] for r in spotsigs.edited_fingerprints(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows.sort()
+    close = 0
+    for at, (k, t) in enumerate(rows):
+        a, b = _brute_spots(t), _brute_spots(rows[at - 1][1])
+        if len(a) > 1 and len(b) > 1:
+            want = len(a & b) / len(a | b)
+            want = 0.0 if min(len(a), len(b)) < spotsigs.FLOOR * max(len(a), len(b)) else want
+            assert abs(got[k] - want) < 1e-9, (k, got[k], want)
+            close += want > 0.7
+    assert close >= 25
+
+
 def test_fingerprints_odd(spark, odd, empty):
     got = spotsigs.edited_fingerprints(spark, odd).collect()
     assert len(got) == odd.count()
