@@ -31,7 +31,8 @@ _DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five
 _NAMES = "|".join(_DIGITS)
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_NAMES})(?:[ -](?:{_NAMES}))+(?![A-Za-z])", re.I)
 _ONE = re.compile(_NAMES, re.I)
-_BRACKET = re.compile(r"[ ]?[\[({<][ ]?(at|dot)[ ]?[\])}>][ ]?", re.I)
+_BRACKET = re.compile(r"[ ]?[\[({<][ ]?(at|dot|@|\.)[ ]?[\])}>][ ]?", re.I)
+_SIGNS = tuple(a + x + b for a, b in ("[]", "()", "{}", "<>") for x in "@.")
 #: Plain words only as a whole address: name at host dot host.
 _PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( at )[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)*?(?: dot )[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)*", re.I)
 #: The same where only one of at and dot is a plain word; a plain at needs a dot that was rewritten.
@@ -155,8 +156,8 @@ def deobfuscate(text: str) -> Rewritten:
                 last = one.end()
         r.apply(digits)
         low = r.text.lower()
-    if "dot" in low or "at)" in low or "at]" in low or "at}" in low or "at>" in low or "at )" in low or "at ]" in low:
-        r.apply([(m.start(), m.end(), "@" if m.group(1).lower() == "at" else ".") for m in _BRACKET.finditer(r.text)])
+    if any(x in low for x in _SIGNS) or "dot" in low or "at)" in low or "at]" in low or "at}" in low or "at>" in low or "at )" in low or "at ]" in low:
+        r.apply([(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "@") else ".") for m in _BRACKET.finditer(r.text)])
         if " dot " in r.text.lower():
             plain = []
             for m in _PLAIN.finditer(r.text):

@@ -260,6 +260,12 @@ def test_pii_odd(spark, odd, empty):
     assert isinstance(pii.spans(long), tuple)
 
 
+@pytest.mark.parametrize(("text", "span"), [("192[.]168[.]1[.]10", "ip:0:18"), ("at joe[@]host(.)com", "email:3:19"), ("+1 555 123 45 six seven eight nine", "phone:0:34"), ("ann@mail.example dot com", "email:0:24")])
+def test_pii_bracketed_signs(text, span):
+    base, every = pii.spans(text)
+    assert span in pii.written(every).split(",") and set(base) <= set(every)
+
+
 def _brute_matches(text, items):
     words = word_hashes(lowered(text))
     h = shingle_hashes(words, 5)
