@@ -3,7 +3,7 @@
 A spot is a common word; its signature is the chain of the next three content words, common words between them
 skipped. A document is its set of signatures. Sets are compared by Jaccard similarity, pruned by their lengths: the
 smaller length over the larger is an upper bound, and sets whose length partitions are too far apart are not
-compared.
+compared. `matches` joins all documents in this way through an inverted index of each length partition.
 """
 
 from __future__ import annotations
@@ -27,6 +27,15 @@ CHAIN = 3
 SPARSE = 0
 #: Likeness below this is reported as 0 where the lengths alone show it.
 FLOOR = 0.05
+SIMILAR = 0.75
+#: A signature with at least one in COMMON of all entries counts as common; there are at most COMMON such.
+COMMON = 1_000_000
+#: Members of a bucket that meet in one task; larger buckets are compared block by block.
+BLOCK = 2048
+#: Large buckets are broadcast up to this many (24 bytes each); beyond, they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Words of 64 bits in the bit map of a set.
+MAPS = 4
 _MARK = "\x01"
 
 
@@ -84,6 +93,64 @@ def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when(far, F.lit(0.0)).otherwise(both / (n + m - both).cast("double"))
 
 
+def _bit_map(sigs: Column) -> Column:
+    """The set as MAPS words of 64 bits, one bit for each signature."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 8).bitwiseAND(63).cast("int"))
+    word = lambda k: F.aggregate(F.filter(sigs, lambda h: h.bitwiseAND(MAPS - 1) == k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(bit(h)))
+    return F.array(*[word(k) for k in range(MAPS)])
+
+
+def _entries(spark: SparkSession, sets: DataFrame, similar: float) -> DataFrame:
+    """(cell, sig, home, node, n, bits) of (node, sigs): each set under its rarest signatures, in its own length
+    partition (home) and the one below.
+
+    Two sets at `similar` share at least ceil(similar * n) signatures of either, so they share one of the first
+    n - ceil(similar * n) + 1 in any order of all signatures; the order here is common ones last.
+    """
+    each = sets.select("node", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    counts = stored(spark, each.groupBy("sig").agg(F.count("*").alias("c")), "counts")
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    common = counts.where(F.col("c") * COMMON >= total)
+    ranked = each.join(F.broadcast(common), "sig", "left").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("c", F.lit(0)), "sig")))
+    first = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similar - F.lit(1e-9)) + 1).select("node", "n", "sig")
+    first = first.join(sets.select("node", _bit_map(F.col("sigs")).alias("bits")), "node").withColumn("part", partition_of(F.col("n"), similar))
+    cells = F.array(F.struct(F.col("part").alias("cell"), F.lit(True).alias("home")), F.struct((F.col("part") - 1).alias("cell"), F.lit(False).alias("home")))
+    return first.select("sig", "node", "n", "bits", F.inline(cells))
+
+
+def _met(spark: SparkSession, entries: DataFrame, similar: float) -> DataFrame:
+    """Distinct pairs (a, b) of sets that share an entry and whose lengths and bit maps allow `similar`."""
+    key = ["sig", "cell"]
+    large = stored(spark, entries.groupBy(key).agg(F.count("*").alias("g")).where(F.col("g") > BLOCK), "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    dealt = entries.join(large, key, "left").withColumn("blocks", F.ceil(F.coalesce("g", F.lit(1)) / BLOCK).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = lambda df, p, mine, other: df.select(*key, F.col("mine").alias(mine), F.col("other").alias(other), *[F.col(c).alias(p + c) for c in ("node", "n", "bits", "home")])
+    both = side(dealt.where("home"), "x_", "r", "s").join(side(dealt, "y_", "s", "r"), [*key, "r", "s"]).where("x_node <> y_node AND (NOT y_home OR x_node < y_node)")
+    near = F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * F.lit(similar) - F.lit(1e-9)
+    differ = sum((F.bit_count(F.col("x_bits")[k].bitwiseXOR(F.col("y_bits")[k])) for k in range(1, MAPS)), F.bit_count(F.col("x_bits")[0].bitwiseXOR(F.col("y_bits")[0])))
+    close = differ <= (F.col("x_n") + F.col("y_n")) * F.lit((1 - similar) / (1 + similar)) + F.lit(1e-9)
+    return both.where(near & close).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
+def matches(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of every row of docs (doc_id, text), and all links (a, b, likeness) of nodes at `similar` or more.
+
+    Rows with equal sets of signatures are one node, so copies are never paired. Null text is empty, and empty texts
+    are one node; rows that repeat a doc_id or lack one are rows like others. An empty table gives none of either.
+    The work on documents that share rare signatures and are unlike still grows with the square of such a group,
+    block by block and with no row for a pair that lengths or bit maps rule out.
+    """
+    signed = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sigs").select("doc_id", "sigs")
+    signed = stored(spark, signed.withColumn("node", F.xxhash64(F.sort_array("sigs"))), "signed")
+    sets = stored(spark, signed.groupBy("node").agg(F.first("sigs").alias("sigs")), "sets")
+    pairs = stored(spark, _met(spark, stored(spark, _entries(spark, sets, similar), "entries"), similar), "pairs")
+    x, y = (sets.select(F.col("node").alias(n), F.col("sigs").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    # stored, so that the likeness is neither pushed below the joins nor made twice
+    links = stored(spark, pairs.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("x"), F.col("y"), similar).alias("likeness")), "links")
+    return signed.select("doc_id", "node"), links.where(F.col("likeness") >= similar)
+
+
 def following(spark: SparkSession, ids: DataFrame) -> DataFrame:
     """(doc_id, next_id) of (doc_id): the next in descending order, and after the last the first.
 

@@ -252,6 +252,35 @@ def test_likeness_against_brute_force(spark, small):
     assert close >= 25
 
 
+@pytest.mark.parametrize("similar,block", [(0.75, 2048), (0.4, 3)])
+def test_matches_against_brute_force(spark, small, monkeypatch, similar, block):
+    """Every pair of unlike sets at the threshold and no other, with buckets whole and split into blocks."""
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
+    rows = [(r["doc_id"], r["text"]) for r in small.where("doc_id < 120").select("doc_id", "text").collect()]
+    rows += [(1000 + 10 * k + cut, " ".join(t.split()[: len(t.split()) * cut // 10])) for k, t in rows[:40] for cut in (5, 7, 8, 9)]
+    made, links = spotsigs.matches(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), similar)
+    node = {r["doc_id"]: r["node"] for r in made.collect()}
+    assert len(node) == len(rows)
+    sets = {node[k]: _brute_spots(t) for k, t in rows if len(_brute_spots(t)) > 1}
+    want = {}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        like = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        if like >= similar:
+            want[a, b] = like
+    got = {(r["a"], r["b"]): r["likeness"] for r in links.collect()}
+    got = {k: v for k, v in got.items() if set(k) <= set(sets)}
+    assert set(got) == set(want) and len(want) >= 40
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_matches_odd(spark, odd, empty):
+    made, links = (df.collect() for df in spotsigs.matches(spark, odd))
+    assert len(made) == odd.count() and not links
+    assert len({r["node"] for r in made if r["doc_id"] in (1, 6)}) == 1
+    assert len({r["node"] for r in made if r["doc_id"] in (2, 3, 4)}) == 1
+    assert [df.count() for df in spotsigs.matches(spark, empty)] == [0, 0]
+
+
 def test_fingerprints_odd(spark, odd, empty):
     got = spotsigs.edited_fingerprints(spark, odd).collect()
     assert len(got) == odd.count()
