@@ -16,6 +16,8 @@ _QUESTION_FIELDS = "id domain question source source_url retrieved reference sha
 QUESTION_FILE = f"about string, retrieved string, questions array<struct<{', '.join(f'{c}: string' for c in _QUESTION_FIELDS)}>>"
 VERIFIER_OUT = ("citations bigint, verified bigint, failed bigint, warnings bigint, grades map<string, bigint>, searches array<struct<`for`: string>>, "
     "documents_in_corpus bigint, documents_cited bigint, ledger array<struct<doc: string>>")
+ANSWER_FILE = ("question_no int, claims array<struct<id: string, text: string, kind: string, citations: array<struct<id: string, doc: string, page: int, quote: string, anchor: string>>>>, "
+    "searches array<struct<query: string, `for`: string>>, gaps array<string>, _corrupt_record string")
 VERIFIED_FILE = "verification struct<ledger: array<struct<doc: string>>>, gaps array<string>"
 INDEX_FILE = "docs array<struct<id: string, source: struct<url: string>, thin: boolean>>"
 JUDGMENT_FILE = "agrees_with_reference string, notes string"

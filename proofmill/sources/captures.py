@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -11,6 +11,19 @@ from ..functions.text import visible
 THIN_CHARS = 400
 
 
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """(url, saved_at, status, content, user_agent) of saved captures in JSON-lines files, read where the tasks run."""
+    return spark.read.schema("url string, saved_at string, status int, content string, user_agent string").json(path)
+
+
+def as_pages(captures: DataFrame) -> DataFrame:
+    """Usable captures as pages of a corpus, one page each; of one address the last saved holds."""
+    c = captures.where("url IS NOT NULL").withColumn("text", visible(F.coalesce("content", F.lit(""))))
+    c = c.where(unfetchable(F.coalesce("status", F.lit(200)), F.col("text")).isNull())
+    c = c.groupBy("url").agg(F.max_by(F.struct("text", "content"), F.struct(F.coalesce("saved_at", F.lit("")), "text")).alias("c"))
+    return c.select(F.col("url").alias("doc_id"), F.lit(1).alias("page_no"), "c.text", F.lit(False).alias("ocr"), F.sha2(F.coalesce("c.content", F.lit("")), 256).alias("sha256"), "url", thin(F.col("c.text")).alias("thin"))
+
+
 def manifest(pages: DataFrame) -> DataFrame:
     """(page_id, url, sha256, n_chars, visible_chars, thin) of captures (page_id, url, html)."""
     out = pages.withColumn("seen", visible(F.col("html")))
