@@ -226,8 +226,10 @@ def _unsettled(spark: SparkSession, member: DataFrame, nodes: DataFrame) -> Data
     pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
     many = member.where(F.col("g") > FEW)
     keys = many.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    block = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1) / BLOCK).cast("int")
-    rows = many.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("g") - 1) / BLOCK).cast("int"))))
+    blocks = F.ceil(F.col("g") / BLOCK)
+    # by a hash of the node: about BLOCK members each, and no task ranks a whole group
+    rows = many.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "c")
     rows = rows.join(nodes.select("node", "n", "sketch").join(keys, "node"), "node")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a long, b long")
