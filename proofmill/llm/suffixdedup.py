@@ -6,6 +6,7 @@ that pick one place form a run, whose text is the union of those windows.
 
 1. Every run is entered as (gram, digest of its text and offset, document, start). Runs with equal text are one class;
    all but the first of a class are repeated throughout. A gram with one class only has nothing more to compare.
+   Tasks combine equal runs before they are dealt by gram, so a text that is everywhere sends few rows to one task.
 2. For grams with several classes the first run of each class sends its text. The suffixes that begin at the gram,
    and the reversed prefixes that end there, are sorted by deep-shallow sorting: multikey quicksort on 8-byte words
    to a shallow depth, then blind tries for groups that still tie. Their common prefixes give, for each offset of a
@@ -30,6 +31,8 @@ REACH = SIZE - GRAM  # the gram lies 0 to REACH bytes after the start of its win
 SHALLOW = 48
 _BLOCK = (1 << 16) - 2 * SIZE
 _ROWS = 1 << 15
+#: Runs that a task combines before the exchange: of equal ones among them only the first needs comparing with others.
+_COMBINE = 1 << 18
 #: A gram with more classes than this is split: its windows are entered one by one under their own hashes.
 MOST_CLASSES = 50_000
 
@@ -58,33 +61,43 @@ def _runs(text: bytes):
 
 
 def _enter(batches):
-    names = ["gram", "digest", "doc_id", "first", "last", "place"]
+    """The runs of all texts; `whole` for those that equal an earlier run of the same task, as far as it is combined."""
+    names = ["gram", "digest", "doc_id", "first", "last", "place", "whole"]
+    got: list[tuple] = []
+
+    def flush():
+        x = [np.concatenate(c) for c in zip(*got, strict=True)]
+        order = np.lexsort((x[3], x[2], x[1], x[0]))
+        gram, digest, doc, *places = (c[order] for c in x)
+        whole = np.r_[False, (gram[1:] == gram[:-1]) & (digest[1:] == digest[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(doc), *(pa.array(c.astype(np.int32)) for c in places), pa.array(whole)], names)
+
+    total = 0
     for batch in batches:
-        got, total = [], 0
-
-        def flush():
-            x = [np.concatenate(c) for c in zip(*got, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].view(np.int64)), pa.array(x[2]), *(pa.array(c.astype(np.int32)) for c in x[3:])], names)
-
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for r in _runs((text or "").encode("utf-8", "surrogatepass")):
                 got.append((r[0], r[1], np.full(len(r[0]), doc, np.int64), *r[2:]))
                 total += len(r[0])
-            if total >= _ROWS:
-                yield flush()
-                got, total = [], 0
-        if got:
-            yield flush()
+                if total >= _COMBINE:
+                    yield flush()
+                    got, total = [], 0
+    if got:
+        yield flush()
 
 
 def _classes(batches):
     """Rows sorted by (gram, digest, doc_id, first): `whole` for runs repeated throughout, else the first run of a
-    class whose gram has other classes. Held back between batches: one row, and a class not yet known to have others."""
+    class whose gram has other classes. Rows that are `whole` already go through, wherever they stand. Held back between
+    batches: one row, and a class not yet known to have others."""
     names = ["gram", "doc_id", "first", "last", "place", "whole"]
     held = np.empty((6, 0), np.int64)  # the first row of the open gram while it has one class
     tail = None  # gram and digest of the last row, and whether its gram has several classes
     for batch in batches:
         rows = np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "digest", "doc_id", "first", "last", "place")], np.int64)
+        done = batch.column("whole").to_numpy(zero_copy_only=False).astype(bool)
+        if done.any():
+            yield _class_batch(rows[:, done], done[done], names)
+            rows = rows[:, ~done]
         if not rows.shape[1]:
             continue
         gram, digest = rows[0], rows[1]
@@ -328,8 +341,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
         counts = counts.withColumn("n", F.col("n") - (F.col("text") == F.col("least")).cast("long")).where("n > 0")
         aside = aside.unionByName(counts.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("doc_id", "text"))
         known = stored(spark, least.select("doc_id", "text"), "documents")
-    entered = known.mapInArrow(_enter, "gram long, digest long, doc_id long, first int, last int, place int")
-    entered = entered.repartition("gram").sortWithinPartitions("gram", "digest", "doc_id", "first")
+    entered = known.mapInArrow(_enter, "gram long, digest long, doc_id long, first int, last int, place int, whole boolean")
+    entered = entered.repartition(F.when(F.col("whole"), F.xxhash64("doc_id", "first")).otherwise(F.col("gram"))).sortWithinPartitions("gram", "digest", "doc_id", "first")
     found = stored(spark, entered.mapInArrow(_classes, "gram long, doc_id long, first int, last int, place int, whole boolean"), "runs")
     packed = known.mapInArrow(_pack, "doc_id long, z binary")
     wanted = found.where("NOT whole")

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -177,6 +178,30 @@ def test_suffix_dedup_of_hot_grams(spark, small, monkeypatch):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == _brute_spans(rows)
 
 
+@pytest.mark.parametrize("combine", [1, 40, 1 << 18])
+def test_suffix_runs_combined_before_the_exchange(monkeypatch, combine):
+    """A text that is everywhere: the classes are the same however many runs a task combines."""
+    rng = random.Random(combine)
+    passage = "".join(rng.choices("abcdefgh ", k=260))
+    texts = [passage * (k % 3) + f" own {k} " + "".join(rng.choices("abcdefgh ", k=90)) + "ab " * (k % 5) * 40 + passage for k in range(60)]
+    monkeypatch.setattr(suffixdedup, "_COMBINE", combine)
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": texts})
+    entered = [r for b in suffixdedup._enter([docs.slice(0, 25), docs.slice(25)]) for r in b.to_pylist()]
+    assert combine == 1 or any(r["whole"] for r in entered)
+    entered.sort(key=lambda r: (r["gram"], r["digest"], r["doc_id"], r["first"]))
+    parts = [pa.RecordBatch.from_pylist(entered[k : k + 7]) for k in range(0, len(entered), 7)]
+    got = sorted((r["doc_id"], r["first"], r["whole"]) for b in suffixdedup._classes(parts) for r in b.to_pylist())
+    grams, want, seen = {}, [], set()
+    for r in entered:
+        grams.setdefault(r["gram"], set()).add(r["digest"])
+    for r in entered:
+        whole = (r["gram"], r["digest"]) in seen
+        seen.add((r["gram"], r["digest"]))
+        if whole or len(grams[r["gram"]]) > 1:
+            want.append((r["doc_id"], r["first"], whole))
+    assert got == sorted(want) and len(got) > 100
+
+
 def test_suffix_dedup_odd(spark, odd, empty):
     got = suffixdedup.repeated_spans(spark, odd).collect()
     assert len(got) == odd.count()
