@@ -51,9 +51,10 @@ def unfetchable(status, text):
 
 
 class ReplaySource(DataSource):
-    """`replay`: (url, saved_at, status, content) of JSON-lines captures saved before; no network is touched.
+    """`replay`: (url, saved_at, status, content, user_agent) of JSON-lines captures saved before; no network is touched.
 
-    Options: path (files that Spark can list are passed in by the caller, one partition each), user_agent (recorded).
+    Options: path (a folder or file in the store that holds the captures; each file is one partition and is read where its
+    task runs), user_agent (what a capture that does not name one was asked for as).
     """
 
     @classmethod
@@ -61,22 +62,44 @@ class ReplaySource(DataSource):
         return "replay"
 
     def schema(self) -> str:
-        return "url string, saved_at string, status int, content string"
+        return "url string, saved_at string, status int, content string, user_agent string"
 
     def reader(self, schema):
-        return _ReplayReader(self.options.get("captures", "[]"))
+        return _ReplayReader(self.options.get("path"), self.options.get("user_agent"))
 
 
 class _ReplayReader(DataSourceReader):
-    def __init__(self, captures: str):
-        import json
+    """Files are found and read through pyarrow's file systems: local, HDFS, S3 and those that a path's scheme names."""
+
+    def __init__(self, path: str | None, user_agent: str | None):
+        if not path:
+            raise ValueError("replay: option path is missing")
+        self.path, self.user_agent = path, user_agent
+
+    def _store(self):
+        from pyarrow import fs
 
-        self.captures = json.loads(captures)
+        return fs.FileSystem.from_uri(self.path if "://" in self.path else "file://" + self.path)
 
     def partitions(self):
-        return [InputPartition(k) for k in range(len(self.captures))] or [InputPartition(None)]
+        from pyarrow import fs
+
+        store, at = self._store()
+        info = store.get_file_info(at)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(at, recursive=True))
+        paths = sorted(f.path for f in found if f.is_file and not f.base_name.startswith((".", "_")))
+        return [InputPartition(p) for p in paths] or [InputPartition(None)]
 
     def read(self, partition):
-        if partition.value is not None:
-            c = self.captures[partition.value]
-            yield (c["url"], c.get("saved_at"), int(c.get("status", 200)), c.get("content"))
+        import json
+        from io import TextIOWrapper
+
+        if partition.value is None:
+            return
+        with self._store()[0].open_input_stream(partition.value) as f:
+            for line in TextIOWrapper(f, "utf-8"):
+                if line.strip():
+                    c = json.loads(line)
+                    yield (c.get("url"), c.get("saved_at"), int(c.get("status") or 200), c.get("content"), c.get("user_agent") or self.user_agent)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ class Conflict(Exception):
 class Store:
     """Corpora under a root folder that Spark and its file systems can reach.
 
-    A generation of a corpus is a fresh folder; the pointer file that names it is written under a new name and renamed,
-    so readers see one generation or the next. A writer states the generation it read, and fails if it is not current.
+    A generation of a corpus is a fresh folder; the pointer file that names it is written whole under a new name and then
+    given its own, which fails if another has it: readers see one generation or the next, and of two writers one succeeds.
+    A writer states the generation it read, and fails if it is not current.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -44,10 +47,30 @@ class Store:
         out = self._fs.create(temporary, False)
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
-            self._fs.delete(temporary, False)
+        taken = not self._name(temporary, final)
+        self._fs.delete(temporary, False)
+        if taken:
             raise Conflict(f"{name}: generation {generation} was written by another session")
 
+    def _name(self, temporary, final) -> bool:
+        """Give a whole file its name in one step, unless another has it. A local rename would replace the other, a
+        link does not; elsewhere the rename without overwriting is the file system's own, atomic on HDFS."""
+        try:
+            if self._fs.getScheme() == "file":
+                os.link(temporary.toUri().getPath(), final.toUri().getPath())
+            else:
+                jvm = self.spark._jvm
+                none = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(temporary, final, none)
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        return True
+
     def create(self, name: str, pages: DataFrame, description: str = "", force: bool = False) -> int:
         """A new corpus; with force a new generation of an old one."""
         at = self.generation(name)

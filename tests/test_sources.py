@@ -1,5 +1,7 @@
 import io
 import json
+import os
+import threading
 import zipfile
 
 import pytest
@@ -69,12 +71,56 @@ def test_store(spark, tmp_path):
         store.read("none")
 
 
-def test_replay(spark):
+def test_two_writers_of_one_generation(spark, tmp_path):
+    """Both pass every check before the pointer is named; one gets it, and the other's pointer is gone."""
+    store = corpus.Store(spark, f"file://{tmp_path}")
+    done = []
+
+    def write(k):
+        try:
+            store._publish("one", 1, {"name": "one", "root": f"r{k}", "description": ""})
+            done.append(k)
+        except corpus.Conflict:
+            pass
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(done) == 1 and store.entry("one")["root"] == f"r{done[0]}"
+    assert [f for f in os.listdir(tmp_path / "registry" / "one") if not f.startswith(".")] == ["1.json"]
+
+
+def test_a_pointer_is_named_once_by_rename_too(spark, tmp_path, monkeypatch):
+    store = corpus.Store(spark, f"file://{tmp_path}")
+
+    class Elsewhere:
+        def __getattr__(self, name):
+            return (lambda: "other") if name == "getScheme" else getattr(fs, name)
+
+    fs = store._fs
+    monkeypatch.setattr(store, "_fs", Elsewhere())
+    store._publish("one", 1, {"name": "one", "root": "a", "description": ""})
+    with pytest.raises(corpus.Conflict):
+        store._publish("one", 1, {"name": "one", "root": "b", "description": ""})
+    assert store.entry("one")["root"] == "a"
+
+
+def test_replay(spark, tmp_path):
     spark.dataSource.register(captures.ReplaySource)
-    saved = json.dumps([{"url": "u1", "status": 200, "content": "hello"}, {"url": "u2", "status": 403, "content": ""}])
-    got = spark.read.format("replay").option("captures", saved).option("user_agent", "x").load()
-    assert {r["url"]: r["reason"] for r in got.select("url", captures.unfetchable(F.col("status"), F.col("content")).alias("reason")).collect()} == {"u1": None, "u2": "login"}
-    assert spark.read.format("replay").load().count() == 0
+    (tmp_path / "a.jsonl").write_text(json.dumps({"url": "u1", "status": 200, "content": "h\u00e9llo", "user_agent": "own"}) + "\n\n" + json.dumps({"url": "u2", "status": 403, "content": ""}) + "\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.jsonl").write_text(json.dumps({"url": "u3", "content": None}))
+    (tmp_path / "_SUCCESS").write_text("")
+    read = lambda path: spark.read.format("replay").option("user_agent", "x").load(path)
+    got = read(f"file://{tmp_path}")
+    assert got.rdd.getNumPartitions() == 2
+    assert {r["url"]: r["reason"] for r in got.select("url", captures.unfetchable(F.col("status"), F.col("content")).alias("reason")).collect()} == {"u1": None, "u2": "login", "u3": None}
+    assert {(r["url"], r["content"], r["user_agent"]) for r in got.collect()} == {("u1", "h\u00e9llo", "own"), ("u2", "", "x"), ("u3", None, "x")}
+    assert read(str(tmp_path / "sub" / "b.jsonl")).count() == 1
+    (tmp_path / "none").mkdir()
+    assert read(str(tmp_path / "none")).count() == 0
 
 
 def test_artefacts(spark, tmp_path):
