@@ -90,13 +90,35 @@ def from_markdown(data: bytes) -> list[str]:
     return [re.sub(r"(?m)^#{1,6} +|(?<!\w)[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}(?!\w)|!?\[([^\]]*)\]\([^)]*\)", lambda m: m.group(1) or "", p) for p in pages]
 
 
+_NUMBER = r"[0-9]+(?:\.[0-9]+)*\."
+
+
 def stranded_numbers(pages: list[str]) -> list[str]:
-    """A clause number left alone at the foot of a page goes to the clause on the next page."""
+    """Clause numbers at the foot of a page go back before their clauses.
+
+    One alone belongs to the clause that begins the next page. A list of several belongs to the paragraphs of its page
+    that have no number, in order, if there are as many (the last number to the next page, if there is one paragraph
+    less); otherwise nothing tells whose they are, and the page stays as it is.
+    """
     pages = list(pages)
-    for k in range(len(pages) - 1):
-        m = re.search(r"\n[ \t]*([0-9]+(?:\.[0-9]+)*\.)[ \t]*\n*\Z", pages[k])
-        if m:
-            pages[k], pages[k + 1] = pages[k][: m.start()], f"{m.group(1)} {pages[k + 1].lstrip()}"
+    for k in range(len(pages)):
+        m = re.search(rf"(?:\n[ \t]*{_NUMBER}[ \t]*)+\n*\Z", pages[k])
+        if not m:
+            continue
+        found, parts = m.group().split(), re.split(r"(\n(?:[ \t]*\n)+)", pages[k][: m.start()].rstrip())
+        bare = [i for i in range(0, len(parts), 2) if parts[i].strip() and not re.match(rf"\s*{_NUMBER}(?:\s|\Z)", parts[i])]
+        more = k + 1 < len(pages)
+        if len(found) > 1 and len(bare) == len(found):
+            last = None
+        elif more and (len(found) == 1 or len(bare) == len(found) - 1):
+            last = found.pop()
+        else:
+            continue
+        for i, number in zip(bare, found, strict=False):
+            parts[i] = f"{number} {parts[i].lstrip()}"
+        pages[k] = "".join(parts) if found else pages[k][: m.start()]
+        if last:
+            pages[k + 1] = f"{last} {pages[k + 1].lstrip()}"
     return pages
 
 

@@ -48,6 +48,22 @@ def test_known_files_are_skipped_and_parsers_can_be_given(spark, folder):
     assert {r["path"].rsplit("/", 1)[-1]: r["text"] for r in again.collect() if not r["error"]} == {"f.pdf": "from a pdf"}
 
 
+@pytest.mark.parametrize(
+    ("pages", "want"),
+    [
+        (["First clause.\n\nSecond one.\n1.1.\n1.2."], ["1.1. First clause.\n\n1.2. Second one."]),
+        (["1. Has one.\n\nFirst clause.\n\nSecond one,\nof two lines.\n\n 2.\n 3.\n"], ["1. Has one.\n\n2. First clause.\n\n3. Second one,\nof two lines."]),
+        (["First clause.\n1.\n2.", "Second one."], ["1. First clause.", "2. Second one."]),
+        (["First clause.\n\nSecond.\n\nThird.\n1.\n2."], ["First clause.\n\nSecond.\n\nThird.\n1.\n2."]),
+        (["Text.\n12.1.", "The clause."], ["Text.", "12.1. The clause."]),
+        (["Text.\n12.1."], ["Text.\n12.1."]),
+        (["In 2019.", ""], ["In 2019.", ""]),
+    ],
+)
+def test_clause_numbers_at_the_foot(pages, want):
+    assert files.stranded_numbers(pages) == want
+
+
 def test_scans(spark):
     pages = spark.createDataFrame([("x", "", bytearray(b"img"), None), ("y", "a long text layer of words", bytearray(b"img"), None), ("z", "", None, None)], "id string, text string, image binary, ocr boolean")
     got = {r["id"]: (r["text"], r["ocr"]) for r in files.recognised(pages, lambda image: "read " + image.decode()).collect()}
