@@ -44,9 +44,9 @@ def rel_semi(spark, sf):
     return table(spark, sf, "customer").where("c_acctbal > 5000").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def rel_anti(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT o_custkey, o_orderkey, k::INTEGER AS k FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 2")
@@ -92,26 +92,25 @@ def rel_json(spark, sf):
 _AT = "yyyy-MM-dd HH:mm:ss"
 
 
-def _log(spark, sf):
-    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def _read_out(spark, df):
+    """The rows of a stream read to its end; complete windows equal those of the table."""
+    return streaming.drained(spark, df, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", "complete")
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf):
-    """A stream read to its end; its windows are complete, so they equal those of the table."""
-    out = streaming.drained(spark, streaming.tumbling(streaming.events(spark, sf)), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", "complete")
-    return out.select(F.date_format("start", _AT).alias("start"), "event_type", "n")
+    return _read_out(spark, streaming.tumbling(streaming.events(spark, sf))).select(F.date_format("start", _AT).alias("start"), "event_type", "n")
 
 
 @query(
     "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01') - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY ALL"
 )
 def stream_sliding(spark, sf):
-    return streaming.sliding(_log(spark, sf)).select(F.date_format("start", _AT).alias("start"), "n")
+    return _read_out(spark, streaming.sliding(streaming.events(spark, sf))).select(F.date_format("start", _AT).alias("start"), "n")
 
 
 @query(
     "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, g"
 )
 def stream_sessions(spark, sf):
-    return streaming.sessions(_log(spark, sf)).select("user_id", F.date_format("start", _AT).alias("start"), "n")
+    return _read_out(spark, streaming.sessions(streaming.events(spark, sf))).select("user_id", F.date_format("start", _AT).alias("start"), "n")
