@@ -30,9 +30,11 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _as_files(lines: DataFrame, folder: str) -> None:
-    """One text file for each part of (part, seq, value), its lines by seq; a file's size is its part's."""
-    lines = lines.repartition("part").sortWithinPartitions("part", "seq").select("part", "value")
-    lines.write.partitionBy("part").mode("append").text(folder)
+    """One text file for each part of (part, seq, value), its lines by seq. A part is one row when it is written, so it
+    stays in one file however the plan deals out its tasks; a file's size is its part's."""
+    by = lines.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("rows"))
+    by = by.select("part", F.array_join(F.transform("rows", lambda r: r["value"]), "\n", "").alias("value"))
+    by.write.partitionBy("part").mode("append").text(folder)
 
 
 def _part(path):

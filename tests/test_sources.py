@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from proofmill.plans import source_queries
 from proofmill.sources import artefacts, captures, corpus, files, sinks
 
 
@@ -186,3 +187,11 @@ def test_pages_of_one_address_are_not_changes_of_each_other(spark):
     got = captures.changed(captures.manifest(pages), captures.manifest(later)).collect()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert sorted((r["url"] or "", r["old_sha256"], r["new_sha256"]) for r in got) == [("", sha("c"), sha("c!")), ("u", sha("b"), sha("b!"))]
+
+
+def test_a_part_is_one_file(spark, tmp_path):
+    lines = spark.range(0, 4000, 1, 8).select(F.floor(F.col("id") / 300).alias("part"), F.col("id").alias("seq"), F.concat("id", F.lit(" x")).alias("value"))
+    lines = lines.join(F.broadcast(lines.groupBy("part").agg(F.min("seq").alias("first"))), "part")
+    source_queries._as_files(lines, str(tmp_path / "out"))
+    found = sorted((int(p.parent.name[5:]), p.read_text()) for p in (tmp_path / "out").glob("*/*.txt"))
+    assert found == [(k, "".join(f"{i} x\n" for i in range(300 * k, min(4000, 300 * k + 300)))) for k in range(14)]
