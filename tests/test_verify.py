@@ -95,3 +95,14 @@ def test_spelling_variants():
         assert verify.same_word(a, b) and verify.same_word(b, a)
     page = "The supplier will deliver every replacement component to the warehouse within 14 working days."
     assert verify.fuzzy_match(page, page.replace("replacement", "replacment"))[3] == ""
+
+
+def test_a_negator_that_begins_the_next_sentence(spark):
+    pages = spark.createDataFrame([("D", 1, "Fees are due at once. No party is late. It says (so.) Never mind! Not here? We may not go.", False)], "doc_id string, page_no int, text string, ocr boolean")
+    quotes = ("Fees are due at once.", "It says (so.)", "Never mind!", "Fees are due at once", "We may", "Not here? We may")
+    got = verify.grade(_cite(spark, [("D", 1, q) for q in quotes]), pages).orderBy("cite_id").collect()
+    assert [r["grade"] for r in got] == ["exact"] * 4 + ["UNVERIFIED"] * 2
+    page = "The supplier will deliver every replacement component to the warehouse within 14 working days. No fee is due."
+    quote = page[: page.index(" No")].replace("replacement", "replacment")
+    assert verify.fuzzy_match(page, quote)[3] == ""
+    assert verify.fuzzy_match(page.replace("days.", "days"), quote.rstrip("."))[3] == "polarity"
