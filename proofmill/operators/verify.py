@@ -4,7 +4,8 @@ The first three rungs are one join on the document with a regular expression per
 no letter or digit may continue a word, no figure a number, and no negator may stand just outside, but for one that begins
 the next sentence. The fuzzy rung
 lines the quotation's words up with the page's, in Arrow batches: each word must be there in its place, as it is or as a
-spelling variant of a longer word; numbers, polarity words and contractions must be equal.
+spelling variant of a longer word; numbers, polarity words and contractions must be equal. Words that have changed places
+are no variants of each other.
 """
 
 from __future__ import annotations
@@ -109,6 +110,12 @@ def same_word(a: str, b: str) -> bool:
     return _apart(a, b, most) <= most
 
 
+def _moved(want: list[str], window: list[tuple]) -> bool:
+    """Whether a word of the quotation stands in another place of the window, where the quotation has another word."""
+    other = [(x, w[0]) for x, w in zip(want, window, strict=True) if x != w[0]]
+    return bool({x for x, _ in other} & {y for _, y in other})
+
+
 def fuzzy_match(page: str, quote: str, at_least: float = FUZZY_AT_LEAST) -> tuple[float, int, int, str]:
     """(similarity, start, end, fault) of the window of as many words that has most of the quotation's words in their
     places; fault is empty if it may count. Windows with fewer than half of them are not looked at."""
@@ -133,7 +140,7 @@ def fuzzy_match(page: str, quote: str, at_least: float = FUZZY_AT_LEAST) -> tupl
             fault = "number"
         elif any(re.fullmatch(rf"(?:{POLARITY}|.*n't)\W*", z, re.I) for x, y in differ for z in (x, y)):
             fault = "polarity"
-        elif differ or similar < at_least:
+        elif differ or similar < at_least or _moved(want, window):
             fault = "not found"
         elif re.search(rf"(?:\b(?:{_NOT})|n't) $", page[:a], re.I) or (re.match(rf" (?:{_NOT})\b", page[b:], re.I) and not re.search(rf"(?:{_STOP})\Z", page[a:b])):
             fault = "polarity"

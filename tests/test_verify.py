@@ -106,3 +106,11 @@ def test_a_negator_that_begins_the_next_sentence(spark):
     quote = page[: page.index(" No")].replace("replacement", "replacment")
     assert verify.fuzzy_match(page, quote)[3] == ""
     assert verify.fuzzy_match(page.replace("days.", "days"), quote.rstrip("."))[3] == "polarity"
+
+
+@pytest.mark.parametrize(("a", "b"), [("The", "the"), ("term", "term,"), ("party", "parts")])
+def test_words_that_are_alike_may_not_change_places(a, b):
+    page = f"Whatever supplier will deliver {a} {b} replacement component to the warehouse within 14 working days."
+    assert verify.fuzzy_match(page, page.replace(f"{a} {b}", f"{b} {a}"))[3] == "not found"
+    assert verify.fuzzy_match(page, page.replace("replacement", "replacment"))[3] == ""
+    assert verify.fuzzy_match(page.replace("Whatever", "whatever"), page)[3] == ""
