@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import normal, original_span
-from ..functions.text import MEANING, NEGATORS, POLARITY
+from ..functions.text import MEANING, NEGATORS, NUMBER, POLARITY
 from ..sources.shared import stored
 
 GRADES = ("exact", "elided", "spanning", "fuzzy", "UNVERIFIED")
@@ -76,6 +76,7 @@ def _best(hits: DataFrame) -> DataFrame:
     return out.select("answer_id", "cite_id", "b.rank", "b.page_no", "b.start", "b.end", "b.ocr", "times")
 
 
+_NUMERAL = re.compile(NUMBER)
 _FIXED = frozenset([*POLARITY.split("|"), *MEANING])
 _TURNS = ("un", "in", "im", "il", "ir", "dis", "non", "mis", "de", "anti", "over", "under", "re", "pre")
 
@@ -118,7 +119,8 @@ def _moved(want: list[str], window: list[tuple]) -> bool:
 
 def fuzzy_match(page: str, quote: str, at_least: float = FUZZY_AT_LEAST) -> tuple[float, int, int, str]:
     """(similarity, start, end, fault) of the window of as many words that has most of the quotation's words in their
-    places; fault is empty if it may count. Windows with fewer than half of them are not looked at."""
+    places; fault is empty if it may count. Windows with fewer than half of them are not looked at. A quotation that the page
+    has in all but its numbers, at whatever letters it begins and ends, has the fault `number`."""
     if re.search(_ELLIPSIS, quote):
         return (0.0, -1, -1, "stitched")
     words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\S+", page)]
@@ -146,6 +148,8 @@ def fuzzy_match(page: str, quote: str, at_least: float = FUZZY_AT_LEAST) -> tupl
             fault = "polarity"
         if (not fault, similar) > (not best[3], best[0]):
             best = (similar, a, b, fault)
+    if best[3] == "not found" and re.search("[0-9]", quote) and quote not in page and _NUMERAL.sub("0", quote) in _NUMERAL.sub("0", page):
+        return (1 - sum(map(len, _NUMERAL.findall(quote))) / len(quote), -1, -1, "number")
     return best
 
 

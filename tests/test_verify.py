@@ -114,3 +114,12 @@ def test_words_that_are_alike_may_not_change_places(a, b):
     assert verify.fuzzy_match(page, page.replace(f"{a} {b}", f"{b} {a}"))[3] == "not found"
     assert verify.fuzzy_match(page, page.replace("replacement", "replacment"))[3] == ""
     assert verify.fuzzy_match(page.replace("Whatever", "whatever"), page)[3] == ""
+
+
+def test_a_changed_number_between_parts_of_words(spark):
+    page = "The ungäber heit 4502042686353506 enlichge enieüch follows, and 1,500 more."
+    assert verify.fuzzy_match(page, "ber heit 5613153797464617 enlichge enie")[1:] == (-1, -1, "number")
+    assert verify.fuzzy_match(page, "ber heit 4502042686353506 enlichge enie")[3] == "not found"
+    assert verify.fuzzy_match(page, "ber heut 4502042686353506 enlichge enie")[3] == "not found"
+    pages = spark.createDataFrame([("D", 1, page, False)], "doc_id string, page_no int, text string, ocr boolean")
+    assert verify.grade(_cite(spark, [("D", 1, "ber heit 5613153797464617 enlichge enie")]), pages).first()["reasons"] == ["number"]
