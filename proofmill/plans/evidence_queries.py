@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.normalize import normal
 from ..operators import extract, report, scoring, triggers, verify
-from ..functions.text import paginate
+from ..functions.text import PAGE_CHARS
 from .cases import CASES, CLAIMS, PASSAGES
 from .corpus_queries import PAGES_SQL, pages_of, search_log_of, table
 
@@ -52,12 +52,14 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
     part = lambda a, n: F.array_join(F.slice(words, a, n), " ")
     negated = lambda c, a, n: F.regexp_like(F.lower(F.substring(c, a, n)), F.lit(_NEG))
     usable = docs.where((F.size(words) > 12) & (F.instr(F.substring("b", 1, 400), "|") == 0) & ~negated("b", 1, 400))
-    cut = F.substring("text", 1941, 120)
-    for pattern, new in ((r"^\S*\s+", ""), (r"\s+\S*$", ""), (r"[ \t\r\n]+", " ")):
-        cut = F.regexp_replace(cut, pattern, new)
+    whole = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\S*\s+", ""), r"\s+\S*$", "")
+    cut = F.regexp_replace(whole(F.substring("text", 1941, 120)), r"[ \t\r\n]+", " ")
+    # words that repeat, or a long one, may leave nothing of the break: a page has the cut by itself. A wider one has the break
+    alone = lambda c: F.instr(F.regexp_replace(c, r"[ \t\r\n]+", " "), cut) > 0
+    over = F.when(alone(F.substring("text", 1, PAGE_CHARS)) | alone(F.substring("text", PAGE_CHARS + 1, PAGE_CHARS)), whole(F.substring("text", 1811, 380))).otherwise(cut)
     once = F.length(F.replace("b", cut)) + F.length(cut) == F.length("b")
     broken = docs.where(once & (F.length("text") > 2200) & (F.instr(F.substring("text", 1800, 400), "|") == 0) & ~negated("text", 1800, 400) & F.regexp_like(F.substring("text", 1999, 2), F.lit("^[a-zA-Z]{2}$")))
-    kinds = (("exact", usable, part(3, 8)), ("altered", usable, F.concat_ws(" ", part(3, 4), F.lit("qqqqqqqq zzzzzzzz"), part(7, 4))), ("spanning", broken, cut))
+    kinds = (("exact", usable, part(3, 8)), ("altered", usable, F.concat_ws(" ", part(3, 4), F.lit("qqqqqqqq zzzzzzzz"), part(7, 4))), ("spanning", broken, over))
     out = None
     for kind, rows, quote in kinds:
         one = rows.select(F.lit("a").alias("answer_id"), F.lit(kind).alias("claim_id"), F.concat_ws("/", F.lit(kind), F.col("doc_id").cast("string")).alias("cite_id"), "doc_id", F.lit(1).alias("page_hint"), quote.alias("quote"), quote.alias("anchor"))

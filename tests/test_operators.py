@@ -1,8 +1,10 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from proofmill import schemas
 from proofmill.operators import extract, report, scoring, search, triggers, verify
+from proofmill.plans import evidence_queries
 from proofmill.plans.cases import PASSAGES
 from proofmill.sources import sinks
 
@@ -71,3 +73,16 @@ def test_report(spark):
         report.render("R", verify.gate(edited, cites, led, checked), edited, *parts)
     row = sinks.verified_answers(claims, cites, led, parts[-1]).first()
     assert len(row["claims"]) == 2 and row["gaps"] == ["When?"] and {x["grade"] for x in row["verification"]["ledger"]} == {"exact"}
+
+
+def test_quotes_over_a_page_break(spark, tmp_path):
+    """Words that repeat about the break, a run of them to either side, and a long word over it; and plain words."""
+    plain = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(670))
+    mid = lambda before, run, after: (plain[:before] + " " + run + " " + plain[:after])
+    runs = [mid(1901, "oush " * 42, 600), mid(1850, "the " * 40, 600), mid(1950, "x" * 120, 600), plain[:1990] + " " + "y" * 90 + " " + plain[:600], plain + " " + plain[:200]]
+    spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(evidence_queries.ORACLE["verify_spanning"]).fetchall()
+    got = [tuple(r) for r in evidence_queries.QUERIES["verify_spanning"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) >= 3
