@@ -5,10 +5,10 @@ more is a duplicate. Equal lines are one node, known by a 64-bit hash. MinHash s
 the least over all shingles, are cut into 8 bands of 2: a pair at 0.75 shares a band with probability 0.9987. Each
 member of a band's bucket is first paired with the bucket's least and greatest node (a partial aggregate, so no task
 holds a bucket); what the sketches allow is verified by exact Jaccard similarity and joined by distributed
-union-find. Members of a bucket that are then in different components are all compared if it has at most FEW. Larger
-buckets are split by each further band, and what those buckets hold is compared in the same way: two lines at 0.75
-share two bands with probability 0.985. Of a component the line that stands first (by doc_id, then line number) is
-kept.
+union-find. Buckets of more than FEW are also split by each further band, which gives them more such ends. Members of a
+bucket, however large, that are then in different components are all compared: in buckets of more than FEW those outside
+the largest component against all, in cells that are dealt out to tasks. Of a component the line that stands first (by
+doc_id, then line number) is kept.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ MIN_CHARS = 16
 FAR = 10
 #: Words of 64 bits in the bit map of a line's shingles.
 MAPS = 16
-#: Members of a bucket that are all compared; a larger bucket is split by further bands.
+#: Members of a bucket that one task compares; the pairs of a larger bucket are dealt out in cells of about FEW by FEW.
 FEW = 256
 _STEP = 4096
 #: Places of candidate lines are broadcast up to this many rows (40 bytes each); beyond, they are joined by shuffle.
@@ -87,13 +87,14 @@ def _members(entered: DataFrame) -> DataFrame:
     return entered.join(ends, "key")
 
 
-def _buckets(spark: SparkSession, signed: DataFrame) -> DataFrame:
-    """The members of the buckets of each band, and where a bucket has more than FEW, those of each two bands."""
+def _buckets(spark: SparkSession, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of the buckets of each band, which hold all pairs, and where a bucket has more than FEW, those of each
+    two bands, which give first pairs alone."""
     one = stored(spark, _members(signed.select(F.explode("bands").alias("key"), "node")), "buckets")
     many = one.where(F.col("g") > FEW).select("key", "node").join(signed.select("node", "bands"), "node")
     many = many.select("key", "node", F.explode("bands").alias("band")).where("key <> band")
     two = many.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "node").distinct()
-    return one.unionByName(stored(spark, _members(two), "buckets"))
+    return one, stored(spark, _members(two), "buckets")
 
 
 def _near(a: str, b: str) -> Column:
@@ -128,14 +129,32 @@ def _first_pairs(members: DataFrame) -> DataFrame:
 
 
 def _rest_pairs(spark: SparkSession, members: DataFrame, outlines: DataFrame, comp: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of members of buckets of at most FEW that are in different components and whose sketches
-    and bit maps allow a link. A member gives FEW - 1 rows at most for each bucket."""
-    member = members.where(F.col("g").between(3, FEW)).select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    """Distinct pairs (a, b) of members of buckets that are in different components and whose sketches and bit maps
+    allow a link. A member gives FEW - 1 rows at most for each bucket of at most FEW."""
+    member = members.where("g > 2").join(comp, "node", "left").select("key", "node", "g", F.coalesce("component", "node").alias("c"))
+    large = _large_pairs(spark, member.where(F.col("g") > FEW), outlines)
+    member = member.where(F.col("g") <= FEW).drop("g")
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     rows = stored(spark, member.join(mixed.select("key"), "key"), "members").join(outlines, "node")
     x, y = (rows.select("key", *[F.col(k).alias(p + k) for k in ("c", *outlines.columns)]) for p in ("x_", "y_"))
     both = x.join(y, "key").where("x_c <> y_c AND x_node < y_node").where(_near("x_sketch", "y_sketch")).where(_close("x_", "y_"))
-    return both.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    pairs = both.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    return pairs.unionByName(_allowed(large, outlines)).distinct()
+
+
+def _large_pairs(spark: SparkSession, member: DataFrame, outlines: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of members (key, node, g, c) of large buckets that are in different components c and whose
+    sketches allow a link: each member outside the largest component of its bucket meets each other one in one cell."""
+    sizes = member.groupBy("key", "c").agg(F.count("*").alias("n"), F.first("g").alias("g"))
+    by = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.first("g").alias("g")).where("most.n < g")
+    by = by.select("key", F.col("most.c").alias("main"), F.ceil(F.col("g") / FEW).alias("n_all"), F.ceil((F.col("g") - F.col("most.n")) / FEW).alias("n_out"))
+    rows = stored(spark, member.drop("g").join(by, "key").join(outlines.select("node", "sketch"), "node"), "large")
+    block = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    x = rows.where("c <> main").select("key", block(1, "n_out").alias("i"), each("n_all").alias("j"), F.col("node").alias("x_node"), F.col("c").alias("x_c"), F.col("sketch").alias("x_sketch"))
+    y = rows.select("key", each("n_out").alias("i"), block(2, "n_all").alias("j"), F.col("node").alias("y_node"), F.col("c").alias("y_c"), F.col("sketch").alias("y_sketch"), (F.col("c") == F.col("main")).alias("inner"))
+    both = x.join(y, ["key", "i", "j"]).where("x_c <> y_c AND (inner OR x_node < y_node)").where(_near("x_sketch", "y_sketch"))
+    return both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def _set(line: Column) -> Column:
@@ -182,10 +201,10 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     places = stored(spark, lines.select("doc_id", "line_no", F.xxhash64("line").alias("node")), "places")
     firsts = stored(spark, places.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.count("*").alias("copies")), "firsts")
     signed = stored(spark, _signed(_signatures(lines)), "signed")
-    members = _buckets(spark, signed)
+    members, split = _buckets(spark, signed)
     texts = _texts(spark, lines, firsts, members.select("node").distinct())
     outlines = stored(spark, _outlines(texts).join(signed.select("node", "sketch"), "node"), "outlines")
-    pairs = stored(spark, _allowed(_first_pairs(members), outlines), "pairs")
+    pairs = stored(spark, _allowed(_first_pairs(members.unionByName(split)), outlines), "pairs")
     links = _linked(spark, texts, pairs)
     comp = stored(spark, components(spark, links), "components")
     rest = stored(spark, _rest_pairs(spark, members, outlines, comp).join(pairs, ["a", "b"], "left_anti"), "rest")

@@ -469,3 +469,21 @@ def test_pipeline_keeps_good_documents(spark, small):
     kept = quality.stage(spark, small, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id", "right").where("quality = 1")
     assert kept.where(F.col("text").isNull()).count() <= 2
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_line_dedup_compares_whole_buckets_of_any_size(spark):
+    """Each two members of different components meet once, in a bucket that one task compares and in larger ones."""
+    few = linededup.FEW
+    sizes = {1: (few, 0), 2: (3 * few, 2 * few), 3: (2 * few + 9, 0), 4: (few + 50, few + 50)}
+    members = [(key, 100_000 * key + i, g) for key, (g, _) in sizes.items() for i in range(g)]
+    component = {100_000 * key + i: 100_000 * key for key, (_, inner) in sizes.items() for i in range(inner)}
+    none = ", ".join(f"0L as o{k}" for k in range(linededup.MAPS))
+    rows = spark.createDataFrame(members, "key long, node long, g long")
+    outlines = rows.selectExpr("node", "0L as sketch", "9 as n", *none.split(", "))
+    comp = spark.createDataFrame(list(component.items()), "node long, component long")
+    got = [(r["a"], r["b"]) for r in linededup._rest_pairs(spark, rows, outlines, comp).collect()]
+    want = set()
+    for key, (g, _) in sizes.items():
+        nodes = [100_000 * key + i for i in range(g)]
+        want |= {(a, b) for a, b in itertools.combinations(nodes, 2) if component.get(a, a) != component.get(b, b)}
+    assert len(got) == len(set(got)) and set(got) == want
