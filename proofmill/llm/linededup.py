@@ -139,21 +139,22 @@ def _rest_pairs(spark: SparkSession, members: DataFrame, outlines: DataFrame, co
     x, y = (rows.select("key", *[F.col(k).alias(p + k) for k in ("c", *outlines.columns)]) for p in ("x_", "y_"))
     both = x.join(y, "key").where("x_c <> y_c AND x_node < y_node").where(_near("x_sketch", "y_sketch")).where(_close("x_", "y_"))
     pairs = both.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-    return pairs.unionByName(_allowed(large, outlines)).distinct()
+    return pairs.unionByName(large).distinct()
 
 
 def _large_pairs(spark: SparkSession, member: DataFrame, outlines: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of members (key, node, g, c) of large buckets that are in different components c and whose
-    sketches allow a link: each member outside the largest component of its bucket meets each other one in one cell."""
+    sketches and bit maps allow a link: each member outside the largest component of its bucket meets each other one in one cell."""
     sizes = member.groupBy("key", "c").agg(F.count("*").alias("n"), F.first("g").alias("g"))
     by = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.first("g").alias("g")).where("most.n < g")
     by = by.select("key", F.col("most.c").alias("main"), F.ceil(F.col("g") / FEW).alias("n_all"), F.ceil((F.col("g") - F.col("most.n")) / FEW).alias("n_out"))
-    rows = stored(spark, member.drop("g").join(by, "key").join(outlines.select("node", "sketch"), "node"), "large")
+    rows = stored(spark, member.drop("g").join(by, "key").join(outlines, "node"), "large")
     block = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    x = rows.where("c <> main").select("key", block(1, "n_out").alias("i"), each("n_all").alias("j"), F.col("node").alias("x_node"), F.col("c").alias("x_c"), F.col("sketch").alias("x_sketch"))
-    y = rows.select("key", each("n_out").alias("i"), block(2, "n_all").alias("j"), F.col("node").alias("y_node"), F.col("c").alias("y_c"), F.col("sketch").alias("y_sketch"), (F.col("c") == F.col("main")).alias("inner"))
-    both = x.join(y, ["key", "i", "j"]).where("x_c <> y_c AND (inner OR x_node < y_node)").where(_near("x_sketch", "y_sketch"))
+    side = lambda p: [F.col(k).alias(p + k) for k in ("c", *outlines.columns)]
+    x = rows.where("c <> main").select("key", block(1, "n_out").alias("i"), each("n_all").alias("j"), *side("x_"))
+    y = rows.select("key", each("n_out").alias("i"), block(2, "n_all").alias("j"), *side("y_"), (F.col("c") == F.col("main")).alias("inner"))
+    both = x.join(y, ["key", "i", "j"]).where("x_c <> y_c AND (inner OR x_node < y_node)").where(_near("x_sketch", "y_sketch")).where(_close("x_", "y_"))
     return both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
