@@ -23,8 +23,12 @@ MIN_CHARS = 16
 #: A sketch is the lowest 4 bits of each signature value; pairs that differ in more than FAR of the 16 are not
 #: verified. A pair at 0.75 differs in more with probability 0.0003.
 FAR = 10
-#: Words of 64 bits in the bit map of a line's shingles.
-MAPS = 16
+#: Words of 64 bits in the bit map of a line's shingles. Lines of more than FULL shingles map those of one residue of the
+#: hash, so that at most FULL are expected; where such maps refuse a pair at 0.75, the share it had there is SIGMAS
+#: deviations off (probability under 0.000001).
+MAPS, FULL, SIGMAS = 16, 768, 5.0
+#: Words of 64 bits in the bit map that cells of large buckets compare before the sets.
+FINE = 128
 #: Members of a bucket that one task compares; the pairs of a larger bucket are dealt out in cells of about FEW by FEW.
 FEW = 256
 _STEP = 4096
@@ -65,9 +69,17 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return x.groupBy("node").agg(*[F.min(value(k)).alias(f"v{k}") for k in range(BANDS * ROWS)])
 
 
+def _level(n: Column) -> Column:
+    """How often the shingles of a line are halved for its bit map."""
+    return F.when(n <= FULL, 0).otherwise(F.ceil(F.log2(n / F.lit(float(FULL))))).cast("int")
+
+
 def _outlines(texts: DataFrame) -> DataFrame:
     """(node, n, o0, o1, ...) of distinct (line): the shingles' count with repeats, and a bit map of their hashes."""
-    x = _shingles(texts).select("node", "n", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")).alias("bit"), F.shiftrightunsigned("h", 6).bitwiseAND(MAPS - 1).alias("at"))
+    one = F.lit(1).cast("long")
+    part = F.call_function("shiftleft", one, _level(F.col("n"))) - 1
+    bit = F.when(F.shiftrightunsigned("h", 32).bitwiseAND(part) == 0, F.call_function("shiftleft", one, F.col("h").bitwiseAND(63).cast("int"))).otherwise(0)
+    x = _shingles(texts).select("node", "n", bit.alias("bit"), F.shiftrightunsigned("h", 6).bitwiseAND(MAPS - 1).alias("at"))
     return x.groupBy("node").agg(F.first("n").alias("n"), *[F.bit_or(F.when(F.col("at") == k, F.col("bit")).otherwise(0)).alias(f"o{k}") for k in range(MAPS)])
 
 
@@ -107,9 +119,14 @@ def _near(a: str, b: str) -> Column:
 
 def _close(a: str, b: str) -> Column:
     """Whether the bit maps allow a link: each bit that one alone has is a shingle that one alone has, and sets A and B
-    at 0.75 differ in at most (|A| + |B|) / 7. The prefixes tell the sides."""
+    at 0.75 differ in at most (|A| + |B|) / 7, or that part of it which their maps hold. Maps of unlike parts tell
+    nothing. The prefixes tell the sides."""
     differ = sum((F.bit_count(F.col(f"{a}o{k}").bitwiseXOR(F.col(f"{b}o{k}"))) for k in range(1, MAPS)), F.bit_count(F.col(f"{a}o0").bitwiseXOR(F.col(f"{b}o0"))))
-    return differ * 7 <= F.col(f"{a}n") + F.col(f"{b}n")
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    part = (n + m) / F.pow(F.lit(2.0), _level(n)) / F.lit(7.0)
+    # one use of `differ`, or the join's code outgrows what the JIT compiles
+    most = F.when((n <= FULL) & (m <= FULL), (n + m) / F.lit(7.0)).when(_level(n) == _level(m), part + F.lit(SIGMAS) * F.sqrt(part)).otherwise(64.0 * MAPS)
+    return differ <= most
 
 
 def _side(outlines: DataFrame, prefix: str) -> DataFrame:
@@ -128,11 +145,12 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
 
 
-def _rest_pairs(spark: SparkSession, members: DataFrame, outlines: DataFrame, comp: DataFrame) -> DataFrame:
+def _rest_pairs(spark: SparkSession, members: DataFrame, outlines: DataFrame, comp: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a, b) of members of buckets that are in different components and whose sketches and bit maps
-    allow a link. A member gives FEW - 1 rows at most for each bucket of at most FEW."""
+    allow a link. A member gives FEW - 1 rows at most for each bucket of at most FEW. With texts (node, bands, line),
+    larger buckets compare the sets in their cells and give similar pairs alone, each in the first band it shares."""
     member = members.where("g > 2").join(comp, "node", "left").select("key", "node", "g", F.coalesce("component", "node").alias("c"))
-    large = _large_pairs(spark, member.where(F.col("g") > FEW), outlines)
+    large = _large_pairs(spark, member.where(F.col("g") > FEW), outlines, texts)
     member = member.where(F.col("g") <= FEW).drop("g")
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     rows = stored(spark, member.join(mixed.select("key"), "key"), "members").join(outlines, "node")
@@ -142,19 +160,31 @@ def _rest_pairs(spark: SparkSession, members: DataFrame, outlines: DataFrame, co
     return pairs.unionByName(large).distinct()
 
 
-def _large_pairs(spark: SparkSession, member: DataFrame, outlines: DataFrame) -> DataFrame:
+def _large_pairs(spark: SparkSession, member: DataFrame, outlines: DataFrame, texts: DataFrame | None) -> DataFrame:
     """Distinct pairs (a, b) of members (key, node, g, c) of large buckets that are in different components c and whose
-    sketches and bit maps allow a link: each member outside the largest component of its bucket meets each other one in one cell."""
+    sketches and bit maps allow a link: each member outside the largest component of its bucket meets each other one in
+    one cell. With texts only similar lines are a pair, so near misses make no row."""
     sizes = member.groupBy("key", "c").agg(F.count("*").alias("n"), F.first("g").alias("g"))
     by = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.first("g").alias("g")).where("most.n < g")
     by = by.select("key", F.col("most.c").alias("main"), F.ceil(F.col("g") / FEW).alias("n_all"), F.ceil((F.col("g") - F.col("most.n")) / FEW).alias("n_out"))
-    rows = stored(spark, member.drop("g").join(by, "key").join(outlines, "node"), "large")
+    mixed = stored(spark, member.drop("g").join(by, "key"), "large")
+    if texts is not None:
+        sets = texts.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "bands", _set(F.col("line")).alias("set"))
+        sets = stored(spark, sets, "sets").withColumn("map", _map(F.col("set")))
+        outlines = outlines.join(sets, "node")
+    rows = stored(spark, mixed.join(outlines, "node"), "large")
     block = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     side = lambda p: [F.col(k).alias(p + k) for k in ("c", *outlines.columns)]
     x = rows.where("c <> main").select("key", block(1, "n_out").alias("i"), each("n_all").alias("j"), *side("x_"))
     y = rows.select("key", each("n_out").alias("i"), block(2, "n_all").alias("j"), *side("y_"), (F.col("c") == F.col("main")).alias("inner"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: cells are small, but much work
+    x, y = (t.repartition(parts, "key", "i", "j") for t in (x, y))
     both = x.join(y, ["key", "i", "j"]).where("x_c <> y_c AND (inner OR x_node < y_node)").where(_near("x_sketch", "y_sketch")).where(_close("x_", "y_"))
+    if texts is not None:
+        shared = F.element_at(F.array_intersect("x_bands", "y_bands"), 1)
+        allowed = _apart(F.col("x_map"), F.col("y_map")) * 7 <= F.size("x_set") + F.size("y_set")
+        both = both.where(shared == F.col("key")).where(allowed).where(_alike(F.col("x_set"), F.col("y_set")))
     return both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
@@ -164,17 +194,31 @@ def _set(line: Column) -> Column:
     return F.element_at(F.transform(F.array(_units(line)), each), 1)
 
 
+def _alike(x: Column, y: Column) -> Column:
+    """Exact Jaccard similarity of two sets against the threshold. The transform keeps a join that has this condition out
+    of whole-stage code, whose one method would be more than the JIT compiles."""
+    n, m = F.size(x), F.size(y)
+    near = F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILAR)
+    linked = lambda c: c >= (n + m - c) * F.lit(SIMILAR)
+    return F.when(near, F.element_at(F.transform(F.array(F.size(F.array_intersect(x, y))), linked), 1)).otherwise(F.lit(False))
+
+
+def _map(shingles: Column) -> Column:
+    """A bit map of FINE words of a set, finer than those of the outlines."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    word = lambda k: F.aggregate(F.filter(shingles, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(FINE - 1) == k), F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(bit(h)))
+    return F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), word)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Bits that one of two maps alone has."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+
+
 def _similar(a: Column, b: Column) -> Column:
     """Exact Jaccard similarity of two lines' shingles against the threshold. The sets are bound to names by a
     one-element transform: a filter on columns made from them would be pushed below and make them again at each use."""
-
-    def compare(s: Column) -> Column:
-        n, m = F.size(s["x"]), F.size(s["y"])
-        near = F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILAR)
-        linked = lambda c: c >= (n + m - c) * F.lit(SIMILAR)
-        return F.when(near, F.element_at(F.transform(F.array(F.size(F.array_intersect(s["x"], s["y"]))), linked), 1)).otherwise(F.lit(False))
-
-    return F.element_at(F.transform(F.array(F.struct(_set(a).alias("x"), _set(b).alias("y"))), compare), 1)
+    return F.element_at(F.transform(F.array(F.struct(_set(a).alias("x"), _set(b).alias("y"))), lambda s: _alike(s["x"], s["y"])), 1)
 
 
 def _texts(spark: SparkSession, lines: DataFrame, firsts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -208,7 +252,8 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = stored(spark, _allowed(_first_pairs(members.unionByName(split)), outlines), "pairs")
     links = _linked(spark, texts, pairs)
     comp = stored(spark, components(spark, links), "components")
-    rest = stored(spark, _rest_pairs(spark, members, outlines, comp).join(pairs, ["a", "b"], "left_anti"), "rest")
+    whole = texts.join(signed.select("node", "bands"), "node")
+    rest = stored(spark, _rest_pairs(spark, members, outlines, comp, whole).join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         comp = components(spark, links.unionByName(_linked(spark, texts, rest)))
     held = firsts.join(comp, "node", "left").select("node", "place", "copies", F.coalesce("component", "node").alias("c"))

@@ -487,3 +487,26 @@ def test_line_dedup_compares_whole_buckets_of_any_size(spark):
         nodes = [100_000 * key + i for i in range(g)]
         want |= {(a, b) for a, b in itertools.combinations(nodes, 2) if component.get(a, a) != component.get(b, b)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_line_dedup_makes_no_rows_of_near_misses(spark, monkeypatch):
+    """Lines just under 0.75 in one large bucket: rows are made for similar pairs alone, and for each of those."""
+    monkeypatch.setattr(linededup, "FEW", 16)
+    r = random.Random(10)
+    own = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = own(400)
+    lines = [passage + own(100) for _ in range(300)]
+    copies = [line[:-8] + own(8) for line in lines[:20]]
+    docs = spark.createDataFrame([(x,) for x in lines + copies], "line string")
+    texts = docs.withColumn("node", F.xxhash64("line"))
+    signed = linededup._signed(linededup._signatures(docs)).localCheckpoint()
+    outlines = linededup._outlines(docs).join(signed.select("node", "sketch"), "node").localCheckpoint()
+    members, split = linededup._buckets(spark, signed)
+    firsts = {(x["a"], x["b"]) for x in linededup._first_pairs(members.unionByName(split)).collect()}
+    assert members.agg(F.max("g")).first()[0] > linededup.FEW
+    comp = spark.createDataFrame([], "node long, component long")
+    whole = texts.join(signed.select("node", "bands"), "node")
+    got = {(x["a"], x["b"]) for x in linededup._rest_pairs(spark, members, outlines, comp, whole).collect()}
+    node = {x["line"]: x["node"] for x in texts.collect()}
+    want = {tuple(sorted((node[a], node[b]))) for a, b in zip(lines, copies)}
+    assert want <= got | firsts and len(got) < 2000 < linededup._rest_pairs(spark, members, outlines, comp).count()
