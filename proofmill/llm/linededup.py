@@ -13,6 +13,8 @@ doc_id, then line number) is kept.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,13 @@ FAR = 10
 #: Words of 64 bits in the bit map of a line's shingles.
 MAPS = 16
 #: Words of 64 bits in the bit map that cells of large buckets compare before the sets.
-FINE = 128
-#: Members of a bucket that one task compares; the pairs of a larger bucket are dealt out in cells of about FEW by FEW.
-FEW = 256
+FINE = 64
+#: Members of a bucket that one task compares; the pairs of a larger bucket are dealt out in cells of about CELL by CELL.
+#: A member is sent to one cell in each CELL others, so smaller cells would write more.
+FEW, CELL = 256, 1024
 _STEP = 4096
-#: Places of candidate lines are broadcast up to this many rows (40 bytes each); beyond, they are joined by shuffle.
+#: Places of candidate lines (40 bytes each) and members of large buckets (100 bytes) are broadcast up to this many rows;
+#: beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -69,8 +73,13 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 def _outlines(texts: DataFrame) -> DataFrame:
     """(node, n, o0, o1, ...) of distinct (line): the shingles' count with repeats, and a bit map of their hashes."""
-    x = _shingles(texts).select("node", "n", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")).alias("bit"), F.shiftrightunsigned("h", 6).bitwiseAND(MAPS - 1).alias("at"))
-    return x.groupBy("node").agg(F.first("n").alias("n"), *[F.bit_or(F.when(F.col("at") == k, F.col("bit")).otherwise(0)).alias(f"o{k}") for k in range(MAPS)])
+    return _mapped(_shingles(texts).select("node", "n", "h"), "o", MAPS, F.first("n").alias("n"))
+
+
+def _mapped(shingles: DataFrame, name: str, words: int, *more: Column) -> DataFrame:
+    """(node, more, name0, name1, ...) of (node, h): a bit map of the hashes."""
+    x = shingles.withColumn("bit", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).withColumn("at", F.shiftright("h", 6).bitwiseAND(words - 1))
+    return x.groupBy("node").agg(*more, *[F.bit_or(F.when(F.col("at") == k, F.col("bit")).otherwise(0)).alias(f"{name}{k}") for k in range(words)])
 
 
 def _signed(signatures: DataFrame) -> DataFrame:
@@ -84,16 +93,29 @@ def _signed(signatures: DataFrame) -> DataFrame:
 
 
 def _members(entered: DataFrame) -> DataFrame:
-    """(key, node, lo, hi, g) of (key, node): buckets of two or more nodes, with their least, greatest and number."""
+    """(key, node, lo, hi, g) of (key, node): buckets of two or more nodes, with their least, greatest and number. Rows are
+    dealt by key once, for the ends and for the join."""
+    entered = entered.repartition("key")
     ends = entered.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("g")).where("lo <> hi")
     return entered.join(ends, "key")
 
 
+def _hinted(rows: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _crowded(spark: SparkSession, members: DataFrame, signed: DataFrame) -> DataFrame:
+    """(node, bands) of the members of buckets of more than FEW."""
+    nodes = stored(spark, members.where(F.col("g") > FEW).select("node").distinct(), "crowded")
+    return stored(spark, signed.select("node", "bands").join(_hinted(nodes), "node", "left_semi"), "crowded")
+
+
 def _buckets(spark: SparkSession, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members of the buckets of each band, which hold all pairs, and where a bucket has more than FEW, those of each
     two bands, which give first pairs alone."""
     one = stored(spark, _members(signed.select(F.explode("bands").alias("key"), "node")), "buckets")
-    many = one.where(F.col("g") > FEW).select("key", "node").join(signed.select("node", "bands"), "node")
+    many = one.where(F.col("g") > FEW).select("key", "node").join(_crowded(spark, one, signed), "node")
     many = many.select("key", "node", F.explode("bands").alias("band")).where("key <> band")
     two = many.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "node").distinct()
     return one, stored(spark, _members(two), "buckets")
@@ -110,8 +132,12 @@ def _near(a: str, b: str) -> Column:
 def _close(a: str, b: str) -> Column:
     """Whether the bit maps allow a link: each bit that one alone has is a shingle that one alone has, and sets A and B
     at 0.75 differ in at most (|A| + |B|) / 7. The prefixes tell the sides."""
-    differ = sum((F.bit_count(F.col(f"{a}o{k}").bitwiseXOR(F.col(f"{b}o{k}"))) for k in range(1, MAPS)), F.bit_count(F.col(f"{a}o0").bitwiseXOR(F.col(f"{b}o0"))))
-    return differ * 7 <= F.col(f"{a}n") + F.col(f"{b}n")
+    return _apart(f"{a}o", f"{b}o", MAPS) * 7 <= F.col(f"{a}n") + F.col(f"{b}n")
+
+
+def _apart(a: str, b: str, words: int) -> Column:
+    """Bits that one of two maps alone has."""
+    return functools.reduce(Column.__add__, [F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(words)])
 
 
 def _side(outlines: DataFrame, prefix: str) -> DataFrame:
@@ -133,7 +159,8 @@ def _first_pairs(members: DataFrame) -> DataFrame:
 def _rest_pairs(spark: SparkSession, members: DataFrame, outlines: DataFrame, comp: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a, b) of members of buckets that are in different components and whose sketches and bit maps
     allow a link. A member gives FEW - 1 rows at most for each bucket of at most FEW. With texts (node, bands, line),
-    larger buckets compare the sets in their cells and give similar pairs alone, each in the first band it shares."""
+    larger buckets compare the sets' halves in their cells and give next to similar pairs alone, each in the first band it
+    shares."""
     member = members.where("g > 2").join(comp, "node", "left").select("key", "node", "g", F.coalesce("component", "node").alias("c"))
     large = _large_pairs(spark, member.where(F.col("g") > FEW), outlines, texts)
     member = member.where(F.col("g") <= FEW).drop("g")
@@ -148,15 +175,17 @@ def _rest_pairs(spark: SparkSession, members: DataFrame, outlines: DataFrame, co
 def _large_pairs(spark: SparkSession, member: DataFrame, outlines: DataFrame, texts: DataFrame | None) -> DataFrame:
     """Distinct pairs (a, b) of members (key, node, g, c) of large buckets that are in different components c and whose
     sketches and bit maps allow a link: each member outside the largest component of its bucket meets each other one in
-    one cell. With texts only similar lines are a pair, so near misses make no row."""
+    one cell. With texts a pair's sets must be as near as halves of their hashes tell, so near misses make no row."""
     sizes = member.groupBy("key", "c").agg(F.count("*").alias("n"), F.first("g").alias("g"))
     by = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.first("g").alias("g")).where("most.n < g")
-    by = by.select("key", F.col("most.c").alias("main"), F.ceil(F.col("g") / FEW).alias("n_all"), F.ceil((F.col("g") - F.col("most.n")) / FEW).alias("n_out"))
+    by = by.select("key", F.col("most.c").alias("main"), F.ceil(F.col("g") / CELL).alias("n_all"), F.ceil((F.col("g") - F.col("most.n")) / CELL).alias("n_out"))
     mixed = stored(spark, member.drop("g").join(by, "key"), "large")
     if texts is not None:
-        sets = texts.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "bands", _set(F.col("line")).alias("set"))
-        sets = stored(spark, sets, "sets").withColumn("map", _map(F.col("set")))
-        outlines = outlines.join(sets, "node")
+        nodes = stored(spark, mixed.select("node").distinct(), "nodes")
+        sets = texts.join(_hinted(nodes), "node", "left_semi").select("node", "bands", _halves(F.col("line")).alias("set"))
+        sets = stored(spark, sets.select("node", "bands", "set.*"), "sets")
+        fine = _mapped(sets.select("node", F.explode("half").alias("h")), "f", FINE)
+        outlines = outlines.join(sets, "node").join(stored(spark, fine, "fine"), "node")
     rows = stored(spark, mixed.join(outlines, "node"), "large")
     block = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -168,8 +197,8 @@ def _large_pairs(spark: SparkSession, member: DataFrame, outlines: DataFrame, te
     both = x.join(y, ["key", "i", "j"]).where("x_c <> y_c AND (inner OR x_node < y_node)").where(_near("x_sketch", "y_sketch")).where(_close("x_", "y_"))
     if texts is not None:
         shared = F.element_at(F.array_intersect("x_bands", "y_bands"), 1)
-        allowed = _apart(F.col("x_map"), F.col("y_map")) * 7 <= F.size("x_set") + F.size("y_set")
-        both = both.where(shared == F.col("key")).where(allowed).where(_alike(F.col("x_set"), F.col("y_set")))
+        most = F.col("x_size") + F.col("y_size")
+        both = both.where(_apart("x_f", "y_f", FINE) * 7 <= most).where(shared == F.col("key")).where(_halves_near(F.col("x_half"), F.col("y_half"), most))
     return both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
@@ -179,27 +208,28 @@ def _set(line: Column) -> Column:
     return F.element_at(F.transform(F.array(_units(line)), each), 1)
 
 
+def _halves(line: Column) -> Column:
+    """(size, half): the number of distinct shingles, and the distinct upper halves of their hashes. Sets differ in as many
+    shingles as their halves at least, so no link is lost by them; what they let by is verified like any pair."""
+    half = lambda s: F.array_distinct(F.transform(s, lambda h: F.shiftright(h, 32).cast("int")))
+    return F.element_at(F.transform(F.array(_set(line)), lambda s: F.struct(F.size(s).alias("size"), half(s).alias("half"))), 1)
+
+
+def _halves_near(x: Column, y: Column, most: Column) -> Column:
+    """Whether the halves allow a link. The transform keeps a join that has this condition out of whole-stage code, whose one
+    method would be more than the JIT compiles."""
+    apart = lambda c: F.size(x) + F.size(y) - c * 2
+    return F.element_at(F.transform(F.array(F.size(F.array_intersect(x, y))), lambda c: apart(c) * 7 <= most), 1)
+
+
 def _alike(x: Column, y: Column) -> Column:
-    """Exact Jaccard similarity of two sets against the threshold. The transform keeps a join that has this condition out
-    of whole-stage code, whose one method would be more than the JIT compiles."""
+    """Exact Jaccard similarity of two sets against the threshold."""
     n, m = F.size(x), F.size(y)
     near = F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILAR)
     linked = lambda c: c >= (n + m - c) * F.lit(SIMILAR)
     return F.when(near, F.element_at(F.transform(F.array(F.size(F.array_intersect(x, y))), linked), 1)).otherwise(F.lit(False))
 
 
-def _map(shingles: Column) -> Column:
-    """A bit map of FINE words of a set, finer than those of the outlines."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    word = lambda k: F.aggregate(F.filter(shingles, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(FINE - 1) == k), F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(bit(h)))
-    return F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), word)
-
-
-def _apart(x: Column, y: Column) -> Column:
-    """Bits that one of two maps alone has."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-
-
 def _similar(a: Column, b: Column) -> Column:
     """Exact Jaccard similarity of two lines' shingles against the threshold. The sets are bound to names by a
     one-element transform: a filter on columns made from them would be pushed below and make them again at each use."""
@@ -209,8 +239,7 @@ def _similar(a: Column, b: Column) -> Column:
 def _texts(spark: SparkSession, lines: DataFrame, firsts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, line) of the nodes given, each read once at its first place."""
     wanted = stored(spark, firsts.join(nodes, "node", "left_semi").select("node", "place.doc_id", "place.line_no"), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = lines.join(wanted, ["doc_id", "line_no"]).where(F.xxhash64("line") == F.col("node")).select("node", "line")
+    found = lines.join(_hinted(wanted), ["doc_id", "line_no"]).where(F.xxhash64("line") == F.col("node")).select("node", "line")
     return stored(spark, found.dropDuplicates(["node"]), "texts")
 
 
@@ -237,7 +266,7 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = stored(spark, _allowed(_first_pairs(members.unionByName(split)), outlines), "pairs")
     links = _linked(spark, texts, pairs)
     comp = stored(spark, components(spark, links), "components")
-    whole = texts.join(signed.select("node", "bands"), "node")
+    whole = texts.join(_hinted(_crowded(spark, members, signed)), "node")
     rest = stored(spark, _rest_pairs(spark, members, outlines, comp, whole).join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         comp = components(spark, links.unionByName(_linked(spark, texts, rest)))

@@ -510,3 +510,42 @@ def test_line_dedup_makes_no_rows_of_near_misses(spark, monkeypatch):
     node = {x["line"]: x["node"] for x in texts.collect()}
     want = {tuple(sorted((node[a], node[b]))) for a, b in zip(lines, copies)}
     assert want <= got | firsts and len(got) < 2000 < linededup._rest_pairs(spark, members, outlines, comp).count()
+
+
+def test_line_dedup_halves_lose_no_link(spark):
+    """Halves of hashes allow every link that the sets give, and little else."""
+    r = random.Random(11)
+    own = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    pairs = [_near_pair(r, n) for n in (8, 20, 60, 150, 400) for _ in range(20)]
+    pairs += [(line, line[: len(line) * 2 // 3] + own(len(line) // 3)) for line, _ in pairs] + [("ab" * 40, "ab" * 90)]
+    halves = [linededup._halves(F.col(c)).alias(c) for c in "xy"]
+    rows = spark.createDataFrame(pairs, "x string, y string").select(linededup._similar(F.col("x"), F.col("y")).alias("similar"), *halves)
+    near = linededup._halves_near(F.col("x.half"), F.col("y.half"), F.col("x.size") + F.col("y.size"))
+    got = [tuple(t) for t in rows.select("similar", near).collect()]
+    assert all(near for similar, near in got if similar) and sum(similar for similar, _ in got) > 90
+    assert sum(near and not similar for similar, near in got) == 0
+
+
+def test_line_dedup_deals_members_once(spark):
+    """The ends of buckets and the join with them read one exchange by key."""
+    out = linededup._members(spark.range(20_000).selectExpr("id % 5000 as key", "id as node"))
+    assert {(x["lo"], x["hi"], x["g"]) for x in out.where("key = 7").collect()} == {(7, 15007, 4)}
+    plan = out._jdf.queryExecution().executedPlan()
+    out.collect()
+    plan = plan.toString().split("== Initial Plan")[0]
+    assert len(re.findall(r"(?<!\], )Exchange hashpartitioning\(key", plan)) <= 1
+
+
+def test_line_dedup_sends_members_to_few_cells(spark, monkeypatch):
+    """A member of a bucket of CELL goes to one cell, without the sets' hashes in full."""
+    seen = []
+    whole = linededup.stored
+    monkeypatch.setattr(linededup, "stored", lambda s, df, name: (seen.append((name, df.columns, dict(df.dtypes))), whole(s, df, name))[1])
+    r = random.Random(12)
+    passage = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    lines = [passage + "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=120)) for _ in range(600)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    linededup.duplicate_lines(spark, rows).count()
+    large = [kinds for name, _, kinds in seen if name == "large" and "half" in kinds]
+    assert large and all(kinds["half"] == "array<int>" and "set" not in kinds for kinds in large)
+    assert linededup.CELL >= 4 * linededup.FEW
