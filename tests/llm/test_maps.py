@@ -347,3 +347,27 @@ def test_decontamination_odd(spark, odd, empty):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (1, 1), (6, 1)]
     assert decontaminate.contaminated(spark, empty, bench).count() == 0
     assert decontaminate.contaminated(spark, odd, bench.where("false")).count() == 0
+
+
+def test_lm_code_priors_and_counts_cover_all_training_documents(spark, monkeypatch):
+    """Symbols, white space, case and contexts of every training document, fitted on or not, are counted once."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200").collect()] + [None, "", "x" * 200, "Ab  cD.\n"]
+    docs = spark.createDataFrame([(k, t, True, False) for k, t in enumerate(texts)], "doc_id long, text string, training boolean, held_out boolean")
+    codes, sums, priors = [], [], []
+    code, tables, expect = lmscore.Code.__init__, lmscore._tables, lmscore.Model.expect
+    monkeypatch.setattr(lmscore.Code, "__init__", lambda self, counts: (codes.append(counts.copy()), code(self, counts))[1])
+    monkeypatch.setattr(lmscore, "_tables", lambda *a: (sums.append([a[0]]), (x for n in tables(*a) for x in (sums[-1].append(n.sum()), n)[1:]))[1])
+    monkeypatch.setattr(lmscore.Model, "expect", lambda self, s, c: (priors.append((s.copy(), c.copy())), expect(self, s, c))[1])
+    lmscore.lm_scores(spark, docs)
+    want = np.zeros(258, np.int64)
+    spaces = cases = 0
+    for t in texts:
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()):
+            want += np.bincount(np.frombuffer(w, np.uint8), minlength=258)
+            want[256] += 1
+            want[257] += (len(w) - 1) // 64
+        s, c, _ = lmscore.extras(lmscore.Batch([(t or "").encode()]))
+        spaces, cases = spaces + s.sum(0), cases + c.sum(0)
+    assert [x.tolist() for x in codes] == [want.tolist()]
+    assert (priors[0][0] == spaces).all() and (priors[0][1] == cases).all()
+    assert sums[-1][1:] == [float((want * sums[-1][0].length).sum())] * 6 and sums[0][1] < sums[-1][1]
