@@ -371,3 +371,16 @@ def test_lm_code_priors_and_counts_cover_all_training_documents(spark, monkeypat
     assert [x.tolist() for x in codes] == [want.tolist()]
     assert (priors[0][0] == spaces).all() and (priors[0][1] == cases).all()
     assert sums[-1][1:] == [float((want * sums[-1][0].length).sum())] * 6 and sums[0][1] < sums[-1][1]
+
+
+def test_lm_steps_are_those_of_all_symbols():
+    """Each symbol's step has its symbol and the contexts that it has among all symbols."""
+    low = np.frombuffer(b"the then there a " + b"q" * 150 + b" x the", np.uint8)
+    edge = np.flatnonzero(np.diff(np.r_[True, low == 32, True].view(np.int8)))
+    sym, place, _ = lmscore.symbols(low, edge[::2], edge[1::2])
+    got, ctx, index = lmscore.steps(sym, place)
+    assert (got[index] == sym).all() and len(got) < len(sym)
+    assert all((x[index] == y).all() for x, y in zip(ctx, lmscore.contexts(sym, place), strict=True))
+    at, which, count = lmscore.distinct(np.array([5, 3, 5, 9], np.uint64))
+    assert (which.tolist(), count.tolist(), at.tolist()[0], at.tolist()[2]) == ([1, 0, 1, 2], [1, 2, 1], 1, 3)
+    assert [len(x) for x in lmscore.distinct(np.zeros(0, np.uint64))] == [0, 0, 0]
