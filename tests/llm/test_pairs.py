@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from proofmill.llm import linededup, paritysketch, quality, spotsigs, suffixdedup
+from proofmill.llm import common, linededup, paritysketch, quality, spotsigs, suffixdedup
 from proofmill.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -549,3 +549,22 @@ def test_line_dedup_sends_members_to_few_cells(spark, monkeypatch):
     large = [kinds for name, _, kinds in seen if name == "large" and "half" in kinds]
     assert large and all(kinds["half"] == "array<int>" and "set" not in kinds for kinds in large)
     assert linededup.CELL >= 4 * linededup.FEW
+
+
+def test_components_end_when_edges_are_stars(spark, monkeypatch):
+    """Edges that are stars already are written once; no round is run to see that nothing changes."""
+    whole, seen = common.stored, []
+    monkeypatch.setattr(common, "stored", lambda s, df, name: (seen.append(name), whole(s, df, name))[1])
+    got = components(spark, spark.createDataFrame([(0, k) for k in range(1, 50)] + [(100, 101)], "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {**dict.fromkeys(range(50), 0), 100: 100, 101: 100}
+    assert seen == ["edges"]
+
+
+def test_stored_collects_the_drivers_garbage(spark):
+    """Spark removes a shuffle once the driver has collected what made it; until then the driver's heap only grows."""
+    beans = list(spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    full = lambda: sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+    before = full()
+    for _ in range(3):
+        common.stored(spark, spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert full() >= before + 3
