@@ -18,7 +18,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, discard, stored
 
 K, SIMILAR, BANDS, ROWS = 10, 0.75, 8, 2
 MIN_CHARS = 16
@@ -114,11 +114,17 @@ def _crowded(spark: SparkSession, members: DataFrame, signed: DataFrame) -> Data
 def _buckets(spark: SparkSession, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members of the buckets of each band, which hold all pairs, and where a bucket has more than FEW, those of each
     two bands, which give first pairs alone."""
+    return _split(spark, signed)[:2]
+
+
+def _split(spark: SparkSession, signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """_buckets, and (node, bands) of the members of large ones."""
     one = stored(spark, _members(signed.select(F.explode("bands").alias("key"), "node")), "buckets")
-    many = one.where(F.col("g") > FEW).select("key", "node").join(_crowded(spark, one, signed), "node")
+    crowded = _crowded(spark, one, signed)
+    many = one.where(F.col("g") > FEW).select("key", "node").join(crowded, "node")
     many = many.select("key", "node", F.explode("bands").alias("band")).where("key <> band")
     two = many.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "node").distinct()
-    return one, stored(spark, _members(two), "buckets")
+    return one, stored(spark, _members(two), "buckets"), crowded
 
 
 def _near(a: str, b: str) -> Column:
@@ -202,12 +208,17 @@ def _large_pairs(spark: SparkSession, member: DataFrame, outlines: DataFrame, te
     return both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
-def _set(line: Column) -> Column:
-    """Distinct shingles. The encoded line is bound to a name, or each shingle would encode it again."""
-    each = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _count(u) - 1), lambda i: _shingle(u, i)))
+def _hashes(line: Column) -> Column:
+    """The hash of each shingle, repeats included. The encoded line is bound to a name, or each shingle would encode it again."""
+    each = lambda u: F.transform(F.sequence(F.lit(1), _count(u) * 2 - 1, F.lit(2)), lambda at: F.xxhash64(F.substring(u, at, 2 * K)))
     return F.element_at(F.transform(F.array(_units(line)), each), 1)
 
 
+def _set(line: Column) -> Column:
+    """Distinct shingles."""
+    return F.array_distinct(_hashes(line))
+
+
 def _halves(line: Column) -> Column:
     """(size, half): the number of distinct shingles, and the distinct upper halves of their hashes. Sets differ in as many
     shingles as their halves at least, so no link is lost by them; what they let by is verified like any pair."""
@@ -223,17 +234,16 @@ def _halves_near(x: Column, y: Column, most: Column) -> Column:
 
 
 def _alike(x: Column, y: Column) -> Column:
-    """Exact Jaccard similarity of two sets against the threshold."""
-    n, m = F.size(x), F.size(y)
-    near = F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILAR)
-    linked = lambda c: c >= (n + m - c) * F.lit(SIMILAR)
-    return F.when(near, F.element_at(F.transform(F.array(F.size(F.array_intersect(x, y))), linked), 1)).otherwise(F.lit(False))
+    """Exact Jaccard similarity of two sets, each as an array that may repeat members, against the threshold. Repeats only
+    make the arrays' sizes larger, so where those already allow a link the union is not made."""
+    linked = lambda c: (c >= (F.size(x) + F.size(y) - c) * F.lit(SIMILAR)) | (c >= F.size(F.array_union(x, y)) * F.lit(SIMILAR))
+    return F.element_at(F.transform(F.array(F.size(F.array_intersect(x, y))), linked), 1)
 
 
 def _similar(a: Column, b: Column) -> Column:
-    """Exact Jaccard similarity of two lines' shingles against the threshold. The sets are bound to names by a
+    """Exact Jaccard similarity of two lines' shingles against the threshold. The hashes are bound to names by a
     one-element transform: a filter on columns made from them would be pushed below and make them again at each use."""
-    return F.element_at(F.transform(F.array(F.struct(_set(a).alias("x"), _set(b).alias("y"))), lambda s: _alike(s["x"], s["y"])), 1)
+    return F.element_at(F.transform(F.array(F.struct(_hashes(a).alias("x"), _hashes(b).alias("y"))), lambda s: _alike(s["x"], s["y"])), 1)
 
 
 def _texts(spark: SparkSession, lines: DataFrame, firsts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -260,19 +270,23 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     places = stored(spark, lines.select("doc_id", "line_no", F.xxhash64("line").alias("node")), "places")
     firsts = stored(spark, places.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.count("*").alias("copies")), "firsts")
     signed = stored(spark, _signed(_signatures(lines)), "signed")
-    members, split = _buckets(spark, signed)
+    members, split, crowded = _split(spark, signed)
     texts = _texts(spark, lines, firsts, members.select("node").distinct())
     outlines = stored(spark, _outlines(texts).join(signed.select("node", "sketch"), "node"), "outlines")
+    discard(spark, signed)
     pairs = stored(spark, _allowed(_first_pairs(members.unionByName(split)), outlines), "pairs")
     links = _linked(spark, texts, pairs)
     comp = stored(spark, components(spark, links), "components")
-    whole = texts.join(_hinted(_crowded(spark, members, signed)), "node")
+    whole = texts.join(_hinted(crowded), "node")
     rest = stored(spark, _rest_pairs(spark, members, outlines, comp, whole).join(pairs, ["a", "b"], "left_anti"), "rest")
+    discard(spark, members, split, crowded, outlines, pairs)
     if not rest.isEmpty():
         comp = components(spark, links.unionByName(_linked(spark, texts, rest)))
-    held = firsts.join(comp, "node", "left").select("node", "place", "copies", F.coalesce("component", "node").alias("c"))
+    held = firsts.join(comp, "node", "left").where("copies > 1 OR component IS NOT NULL")
+    held = held.select("node", "place", "copies", F.coalesce("component", "node").alias("c"))
     kept = held.groupBy("c").agg(F.min("place").alias("kept"), F.sum("copies").alias("n")).where("n > 1")
     kept = stored(spark, held.join(kept, "c").select("node", "kept"), "kept")
+    discard(spark, firsts, texts, links, rest)
     return places.join(kept, "node").where("NOT (doc_id = kept.doc_id AND line_no = kept.line_no)").select("doc_id", "line_no").distinct()
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -568,3 +569,13 @@ def test_stored_collects_the_drivers_garbage(spark):
     for _ in range(3):
         common.stored(spark, spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
     assert full() >= before + 3
+
+
+def test_line_dedup_deletes_what_nothing_reads_any_more(spark, small):
+    """Signatures, texts, outlines and links go once they are used; the result is still read from what stays."""
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = linededup.duplicate_lines(spark, small.where("doc_id < 60"))
+    names = {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before}
+    assert not names & {"signed", "texts", "outlines", "links", "buckets", "firsts", "pairs", "rest"} and {"places", "kept"} <= names
+    assert out.count() == len(out.collect())
